@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import mixing, sharding, simhash_dedup, url_filter
+from weftgraph.llm import embedding_dedup, fingerprints, langid, mixing, packing, sharding, simhash_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,27 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs).withColumn("law", F.lit("key"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    doc_id = F.col("row.doc_id")
+    return found.select(doc_id.alias("doc_id"), langid.held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -32,11 +47,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL = {
