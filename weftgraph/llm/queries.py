@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import embedding_dedup, fingerprints, langid, mixing, packing, sharding, simhash_dedup, url_filter
+from weftgraph.llm import embedding_dedup, fingerprints, html_extract, langid, mixing, packing, pii, sharding, simhash_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("entities", lambda e: e["kind"])
+    return found.select("row.doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return sharding.assign(docs).withColumn("law", F.lit("key"))
@@ -52,6 +63,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_html_extraction": op2_html_extraction,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
