@@ -61,8 +61,8 @@ _NUMBER = re.compile(
     r"(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
     r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?![\w-]))"
-    r"|(?P<phone2>(?<![\w.+])\+\d{8,14}(?!\w))"
+    r"|(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?:[.-]\d{2,4})?(?![\w-]|\.\d))"
+    r"|(?P<phone2>(?<![\w.+])(?:\+\d{8,14}|(?:\+\d{2} ?|0)\d(?:[ .-]\d{2}){4})(?!\w))"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?!\w)")
 _IPV6 = re.compile(r"(?<![\w:])(?:[\da-fA-F]{1,4}:){7}[\da-fA-F]{1,4}(?![\w:])")
