@@ -33,17 +33,18 @@ def _quoted(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def stem_sql(word: str) -> str:
-    """SQL of a word's stem, in functions that Spark and other engines share."""
+def cut_sql(word: str) -> str:
+    """SQL of a word in lower case without its suffix, in functions that Spark and other engines share."""
     low = f"lower({word})"
     cases = " ".join(f"WHEN {low} LIKE '%{s}' AND length({low}) >= {len(s) + _LEAST} THEN substr({low}, 1, length({low}) - {len(s)})" for s in SUFFIXES)
-    return f"CASE WHEN {low} IN ({_quoted(KEPT)}) THEN {low} ELSE {_bucket_sql(f'(CASE {cases} ELSE {low} END)')} END"
+    return f"CASE WHEN {low} IN ({_quoted(KEPT)}) THEN {low} {cases} ELSE {low} END"
 
 
-def _bucket_sql(cut: str) -> str:
-    """One of a doubled last letter goes, and the rest is cut to a stem's length."""
-    doubled = f"length({cut}) >= {_LEAST} AND substr({cut}, length({cut}), 1) = substr({cut}, length({cut}) - 1, 1) AND substr({cut}, length({cut}), 1) NOT IN ('a', 'e', 'i', 'o', 'u', 's', 'l')"
-    return f"substr(CASE WHEN {doubled} THEN substr({cut}, 1, length({cut}) - 1) ELSE {cut} END, 1, {STEM_LENGTH})"
+def bucket_sql(word: str, cut: str) -> str:
+    """SQL of a word's stem from its cut form: one of a doubled last letter goes, and the rest is cut to a stem's length."""
+    last = f"substr({cut}, length({cut}), 1)"
+    doubled = f"length({cut}) >= {_LEAST} AND {last} = substr({cut}, length({cut}) - 1, 1) AND {last} NOT IN ({_quoted(tuple('aeiousl'))})"
+    return f"CASE WHEN lower({word}) IN ({_quoted(KEPT)}) THEN lower({word}) ELSE substr(CASE WHEN {doubled} THEN substr({cut}, 1, length({cut}) - 1) ELSE {cut} END, 1, {STEM_LENGTH}) END"
 
 
 def _stripped(low: Column) -> Column:

@@ -107,10 +107,11 @@ def weight_of_type(kind: Column, node_type: Column) -> Column:
 
 def score(
     path: Column, node_type: Column, confidence: Column, out_degree: Column, in_degree: Column, match: Column, kind: Column,
-    answers: Column = F.lit(False), exact: Column = F.lit(False), risk: Column = F.lit("low"), orphan: Column = F.lit(False), complexity: Column = F.lit(0.0),
-    off_name: Column = F.lit(False),
+    answers: Column | bool = False, exact: Column | bool = False, risk: Column | str = "low", orphan: Column | bool = False, complexity: Column | float = 0.0,
+    off_name: Column | bool = False,
 ) -> Column:
     """Text evidence, structure and kind of a node as one number, to three places."""
+    answers, exact, risk, orphan, complexity, off_name = (x if isinstance(x, Column) else F.lit(x) for x in (answers, exact, risk, orphan, complexity, off_name))
     weak = is_test(path) | is_prose(path)
     derived = node_type.isin("PATTERN", "CONFLICT", "DECISION")
     text = 15.0 * match * F.when(weak, 0.3).otherwise(1.0)

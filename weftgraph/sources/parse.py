@@ -93,7 +93,8 @@ def dependencies(parsed: DataFrame) -> DataFrame:
 
 def script_symbols(files: DataFrame) -> DataFrame:
     """(path, kind, name) of definitions in scripts, found by patterns."""
-    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda n, k=kind: F.struct(F.lit(k).alias("kind"), n.alias("name"))) for kind, ps in SCRIPT_PATTERNS.items() for p in ps])
+    named = lambda kind: lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
+    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), named(kind)) for kind, ps in SCRIPT_PATTERNS.items() for p in ps])
     return files.select("path", F.explode(found).alias("s")).select("path", "s.kind", "s.name")
 
 

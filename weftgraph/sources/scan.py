@@ -65,10 +65,14 @@ def is_ignored(path: Column, globs: tuple[str, ...] = (), dirs: tuple[str, ...]
     out = F.exists(parts, lambda p: p.isin(*dirs)) | extension(path).isin(*extensions)
     for g in globs:
         regex = fnmatch.translate(g).replace(r"\Z", "$").replace(r"\z", "$")
-        out = out | path.rlike(f"^{regex}") | F.exists(parts, lambda p, r=regex: p.rlike(f"^{r}"))
+        out = out | path.rlike(f"^{regex}") | F.exists(parts, _like(f"^{regex}"))
     return out
 
 
+def _like(regex: str):
+    return lambda part: part.rlike(regex)
+
+
 def is_binary(content: Column) -> Column:
     """Of the first bytes: none is text; a zero byte is binary; else more than 30 % of bytes outside
     printable ASCII and its controls."""
