@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans.numbering import numbered
+
 RING = 1000
 
 
@@ -56,9 +58,9 @@ def replay_from(journal: DataFrame, sequence: int) -> DataFrame:
 
 
 def counter_snapshots(events: DataFrame, name: str = "event_type", order: str = "event_id") -> DataFrame:
-    """Each event with its counter's value after it."""
-    running = Window.partitionBy(name).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(order, name, F.count(F.lit(1)).over(running).alias("value"))
+    """Each event with its counter's value after it. A counter may hold most of all events, so numbers
+    come from sorted ranges and not from a window over the counter."""
+    return numbered(events.select(order, name), name, [F.col(order).asc()], "value")
 
 
 def ring(events: DataFrame, n: int = RING, name: str = "event_type", order: str = "event_id") -> DataFrame:

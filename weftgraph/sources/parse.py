@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import tomllib
 from collections.abc import Callable, Iterator
 
@@ -62,25 +63,94 @@ def parse_python(text: str | None) -> dict:
     return out | {"calls": sorted(calls)}
 
 
+_SCRIPT_FORMS = [(kind, re.compile(p)) for kind, ps in SCRIPT_PATTERNS.items() for p in ps]
+_SCRIPT_IMPORT_FORM = re.compile(SCRIPT_IMPORT)
+
+
+def parse_script(text: str | None) -> dict:
+    """Functions, classes and imports of a script with their lines, by patterns."""
+    text = text or ""
+    line = lambda at: text.count("\n", 0, at) + 1
+    symbols = [
+        {"name": m[1], "kind": kind, "line_start": line(m.start(1)), "line_end": line(m.start(1)), "is_private": m[1].startswith("_"), "decorators": []}
+        for kind, form in _SCRIPT_FORMS for m in form.finditer(text)
+    ]
+    found = [{"target_module": m[1], "kind": "import", "line": line(m.start()), "level": 0} for m in _SCRIPT_IMPORT_FORM.finditer(text)]
+    return {"symbols": symbols, "dependencies": found, "calls": [], "errors": [], "confidence": 0.85}
+
+
+_HEADING_FORM = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
+
+
+def parse_markdown(text: str | None) -> dict:
+    """Headings as concepts."""
+    text = text or ""
+    symbols = [{"name": m[2].strip(), "kind": "VAULT_CONCEPT", "line_start": text.count("\n", 0, m.start()) + 1, "line_end": text.count("\n", 0, m.start()) + 1, "is_private": False, "decorators": []} for m in _HEADING_FORM.finditer(text)]
+    return {"symbols": symbols, "dependencies": [], "calls": [], "errors": [], "confidence": 0.8}
+
+
+# Forms of definitions and imports in other languages.
+OTHER_PATTERNS = {
+    "go": ((("FUNCTION", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("CLASS", r"(?m)^type\s+(\w+)\s+(?:struct|interface)")), r"(?m)^(?:import\s+(?:\w+\s+)?|\s+(?:\w+\s+)?)\"([^\"]+)\"\s*$"),
+    "rust": ((("FUNCTION", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("CLASS", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)")), r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"),
+    "java": ((("CLASS", r"(?m)^\s*(?:[\w@]+\s+)*(?:class|interface|enum|record)\s+(\w+)"), ("FUNCTION", r"(?m)^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\(")), r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"),
+    "kotlin": ((("CLASS", r"(?m)^\s*(?:\w+\s+)*(?:class|interface|object)\s+(\w+)"), ("FUNCTION", r"(?m)^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)")), r"(?m)^\s*import\s+([\w.]+)"),
+    "csharp": ((("CLASS", r"(?m)^\s*(?:\w+\s+)*(?:class|interface|struct|record|enum)\s+(\w+)"), ("FUNCTION", r"(?m)^\s+(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\], ?]+\s+(\w+)\s*\(")), r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"),
+    "c": ((("FUNCTION", r"(?m)^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;{)]*\)\s*\{"), ("CLASS", r"(?m)^\s*(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)\s*\{")), r"(?m)^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]"),
+    "cpp": ((("FUNCTION", r"(?m)^[A-Za-z_][\w\s*&:<>,]*?\b(\w+)\s*\([^;{)]*\)\s*(?:const\s*)?\{"), ("CLASS", r"(?m)^\s*(?:class|struct|enum(?:\s+class)?)\s+(\w+)[^;]*\{")), r"(?m)^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]"),
+    "ruby": ((("FUNCTION", r"(?m)^\s*def\s+(?:self\.)?(\w+[?!]?)"), ("CLASS", r"(?m)^\s*(?:class|module)\s+(\w+)")), r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]"),
+    "php": ((("FUNCTION", r"(?m)^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+(\w+)"), ("CLASS", r"(?m)^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)")), r"(?m)^\s*use\s+([\w\\]+)"),
+}
+_OTHER_FORMS = {k: ([(kind, re.compile(p)) for kind, p in forms], re.compile(imports)) for k, (forms, imports) in OTHER_PATTERNS.items()}
+
+
+def parse_other(language: str, text: str | None) -> dict:
+    """Functions, classes and imports of other languages, by patterns."""
+    text = text or ""
+    line = lambda at: text.count("\n", 0, at) + 1
+    forms, imports = _OTHER_FORMS[language]
+    symbols = [
+        {"name": m[1], "kind": kind, "line_start": line(m.start(1)), "line_end": line(m.start(1)), "is_private": m[1].startswith("_"), "decorators": []}
+        for kind, form in forms for m in form.finditer(text)
+    ]
+    found = [{"target_module": m[1], "kind": "import", "line": line(m.start(1)), "level": 0} for m in imports.finditer(text)]
+    return {"symbols": symbols, "dependencies": found, "calls": [], "errors": [], "confidence": 0.8}
+
+
+def parse_file(language: str | None, text: str | None) -> dict | None:
+    """The parse result by language; none for a language without a parser."""
+    if language == "python":
+        return parse_python(text)
+    if language in ("javascript", "typescript"):
+        return parse_script(text)
+    if language == "markdown":
+        return parse_markdown(text)
+    return parse_other(language, text) if language in _OTHER_FORMS else None
+
+
 def top_level_names(text: str | None) -> list[str]:
     return sorted({s["name"] for s in parse_python(text)["symbols"]})
 
 
-def with_parsed(files: DataFrame, parser: Callable[[str | None], dict] = parse_python) -> DataFrame:
-    """Adds the parse result of each file (text) as a struct `parsed`; a parser's failure is an error row."""
+def with_parsed(files: DataFrame, parser: Callable[[str | None, str | None], dict | None] | None = None) -> DataFrame:
+    """Adds the parse result of each file (text, and language if there) as a struct `parsed`; a parser's
+    failure is an error row, and a language without a parser has no result. Files without a language
+    column are Python."""
+    parser = parser or parse_file
 
     @F.pandas_udf(PARSED)
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for languages, texts in batches:
             rows = []
-            for t in texts:
+            for language, t in zip(languages, texts, strict=True):
                 try:
-                    rows.append(parser(t))
+                    rows.append(parser(language, t) or {"symbols": [], "dependencies": [], "calls": [], "errors": [], "confidence": None})
                 except Exception as e:  # one file's failure is its own result
                     rows.append({"symbols": [], "dependencies": [], "calls": [], "errors": [f"{type(e).__name__}: {e}"], "confidence": 0.2})
             yield pd.DataFrame(rows, columns=["symbols", "dependencies", "calls", "errors", "confidence"])
 
-    return files.withColumn("parsed", each("text"))
+    language = F.col("language") if "language" in files.columns else F.lit("python")
+    return files.withColumn("parsed", each(language, F.col("text")))
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
@@ -176,7 +246,7 @@ def promote(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = symbols(parsed)
     file = schema.file_id(F.col("file_path"))
     node_id = schema.symbol_id(file, F.col("name"), F.col("line_start"))
-    kind = F.when(F.col("kind").isin("CLASS", "TYPE_ALIAS"), "CLASS").when(F.col("kind").isin("METHOD", "MODULE", "VARIABLE"), F.col("kind")).otherwise("FUNCTION")
+    kind = F.when(F.col("kind").isin("CLASS", "TYPE_ALIAS"), "CLASS").when(F.col("kind").isin("METHOD", "MODULE", "VARIABLE", "VAULT_CONCEPT"), F.col("kind")).otherwise("FUNCTION")
     metadata = F.to_json(F.struct("file_path", "line_start", "line_end", "is_private", "decorators"))
     nodes = own.select(node_id.alias("id"), kind.alias("type"), "name", F.col("file_path").alias("source"), F.lit(0.9).alias("confidence"), metadata.alias("metadata"))
     edges = own.select(node_id.alias("from_node"), file.alias("to_node"), F.lit("BELONGS_TO").alias("type"), F.lit(0.6).alias("weight"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("metadata"))

@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import fnmatch
+import re
+from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,25 +93,68 @@ def lines_count(text: Column) -> Column:
     return (breaks + F.when((F.length(text) > 0) & (F.right(text, F.lit(1)) != "\n"), 1).otherwise(0)).cast("long")
 
 
+def _skipped_by_spark(spark: SparkSession, root: str) -> list[tuple[str, int, float]]:
+    """(uri, size, time) of files that Spark's listing leaves out: names that begin with an underscore, and
+    all below folders so named. Found by globs, level by level, without visiting other files."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, level = [], root.rstrip("/")
+    while True:
+        for status in fs.globStatus(Path(f"{level}/_*")) or []:
+            if status.isFile():
+                found.append(status)
+            else:
+                inner = fs.listFiles(status.getPath(), True)
+                while inner.hasNext():
+                    found.append(inner.next())
+        if not fs.globStatus(Path(f"{level}/*/*")):
+            return [(s.getPath().toString(), s.getLen(), s.getModificationTime() / 1000) for s in found]
+        level += "/*"
+
+
+def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Reads files on the executors by their addresses."""
+    from pyarrow import fs as arrow_fs
+
+    for f in frames:
+        data = []
+        for uri in f["uri"]:
+            system, at = arrow_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            with system.open_input_stream(at) as stream:
+                data.append(stream.read())
+        yield f.assign(content=data)
+
+
 def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, globs: tuple[str, ...] = (), max_kb: int | None = None) -> DataFrame:
-    """Files below a root that any Hadoop file system serves: path relative to it, size, time, content.
-    Size and time filters reach the source, which lists files without opening them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    if max_kb:
-        files = files.filter(F.col("length") <= max_kb * 1024)
+    """Files below a root: path relative to it, size, time, content.
+
+    Size and time filters reach the source, which lists files without opening them. Spark's listing
+    leaves out names that begin with an underscore, and its reader files without content; both
+    are added, for sources have many of the first, such as package markers.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
+    files = source.select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
+    schema = "uri string, size_bytes long, modified_at timestamp"
+    skipped = spark.createDataFrame([(u, n, datetime.fromtimestamp(t, timezone.utc)) for u, n, t in _skipped_by_spark(spark, root)], schema)
+    skipped = skipped.repartition(max(1, min(256, skipped.count() // 64))).mapInPandas(_contents, f"{schema}, content binary")
+    listed = spark.createDataFrame([(unquote(p),) for p in source.inputFiles()], "uri string")
+    plain = F.regexp_replace("uri", "^[^/:]+:/*", "")  # a listing writes three slashes where rows have one
+    empty = listed.withColumn("_p", plain).join(source.select(F.col("path").alias("uri")).select(plain.alias("_p")), "_p", "left_anti")
+    empty = empty.select("uri", F.lit(0).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_at"), F.lit("").cast("binary").alias("content"))
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
-    files = files.withColumn("path", F.substr("path", F.lit(len(base) + 1)))
-    files = files.filter(~F.exists(F.split("path", "/"), lambda p: p.startswith(".") & (p != ".gitignore")) & ~is_ignored(F.col("path"), globs))
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().split(":", 1)[-1].strip("/")
+    path = F.substr(plain, F.lit(len(base) + 2 if base else 1))
+    files = files.unionByName(skipped).unionByName(empty).select(path.alias("path"), "size_bytes", "modified_at", "content")
+    if max_kb:
+        files = files.filter(F.col("size_bytes") <= max_kb * 1024)
     if extensions:
         files = files.filter(extension(F.col("path")).isin(*extensions))
-    return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
+    return files.filter(~F.exists(F.split("path", "/"), lambda p: p.startswith(".") & (p != ".gitignore")) & ~is_ignored(F.col("path"), globs))
 
 
 def describe(files: DataFrame) -> DataFrame:
     """Adds name, extension, language, category, hash_value, is_hidden, is_binary, encoding, text, lines_count."""
     ext, binary = extension(F.col("path")), is_binary(F.col("content"))
-    text = F.coalesce(F.expr("try_validate_utf8(decode(content, 'ISO-8859-1'))"), F.lit(""))
     valid = F.expr("is_valid_utf8(CAST(content AS STRING))")
     text = F.when(binary, "").when(valid, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select(
