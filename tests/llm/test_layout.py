@@ -49,13 +49,16 @@ def test_shards(spark):
     assert sharding.assign(frame(spark).limit(0)).count() == 0
 
 
-def test_words_of_byte_level_bpe():
-    """Remembered words give the tokenizer's own ids."""
+def test_ids_are_the_tokenizers_own():
+    """Of texts over many scripts, and of another kind of file, which runs in tokenizers itself."""
+    other = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.ranked and len(next(other(["one two"]))) == 8
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain, own = Tokenizer.from_file(path), packing.Encoder(path)
     plain.encode_special_tokens = True
     texts = ["", " ", "  a  b\n\n c\t\td ", "it's we'll 'tis", "<|endoftext|> x<|endoftext|>", "Ünï cödé 東京 123४५६ 1a2b", "a b  　c\x85d\x1ce", "é \U0001f600\U0001f468‍\U0001f469"]
     texts += ["".join(f"a{chr(c)}{chr(c)} {chr(c)}1" for c in range(at, at + 512) if not 0xD800 <= c < 0xE000) for at in [*range(0, 0x3400, 512), 0xA600, 0xAC00, 0xF900, 0xFE00, 0x10400, 0x1F600]]
+    assert own.ranked
     for text, ids in zip(texts, own(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
