@@ -80,6 +80,9 @@ def test_edges_of_simhash(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7, 8]
     assert simhash_dedup.keep_one(df.limit(0)).count() == 0
+    twice = [(1, "a b c d"), (2, "a b c d"), (2, "e f g h"), (2, "e f g h"), (3, "e f g h"), (None, "i j k"), (None, "l m n")]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(twice, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "i j k"), (0, "l m n"), (1, "a b c d"), (2, "e f g h")]
 
 
 def brute(vectors):

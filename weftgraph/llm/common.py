@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.staging import shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local master may go without the setting (tests); it then gets a temporary folder.
-    """
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    master = conf.get("spark.master", "")
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
-    path = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and the
-    table survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["broadcast_if_small", "connected_components", "shared_dir", "stage"]
 
 
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = 200_000) -> DataFrame:

@@ -188,27 +188,44 @@ def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, bl
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS
 ) -> DataFrame:
-    """(id_col, fp long, component) of every row; component is the smallest id that links reach."""
+    """(id_col, fp long, component, root) of every row; component is the smallest id that links reach,
+    and root the fingerprint that stands for the component, whatever its ids are."""
     rows = stage(with_fingerprints(docs, id_col, text_col, words), "fp")
     fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "fps")
     edges = links(fps, fps.count(), radius)
     members = stage(connected_components(edges), "members")
     least = members.join(fps, members.node == fps.fp).groupBy("root").agg(F.min("least").alias("component"))
-    joined = members.join(broadcast_if_small(least, members.count()), "root").select(F.col("node").alias("fp"), "component")
-    of = fps.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return rows.join(of, "fp").select(id_col, "fp", "component")
+    joined = members.join(broadcast_if_small(least, members.count()), "root").select(F.col("node").alias("fp"), "component", "root")
+    component = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component"))
+    of = fps.join(joined, "fp", "left").select("fp", component.alias("component"), F.coalesce("root", "fp").alias("root"))
+    return rows.join(of, "fp").select(id_col, "fp", "component", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest id; of
-    rows that repeat that id, the smallest by its columns' order. All columns are kept."""
-    found = near_duplicates(docs, id_col, text_col, radius, words)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component"))).select(id_col).groupBy(id_col).count()
-    # an id that stands in several components was kept for one of them at least: all its rows are looked at
-    kept = stage(kept.select(F.col(id_col).alias("_kept"), F.col("count").alias("_times")), "kept")
+    """The rows of docs without near-duplicates: of each component the row with the smallest id stays, of
+    rows that repeat it the smallest by its columns in order. All columns are kept.
+
+    Few documents go, so their ids are taken off; only where they outgrow a broadcast are texts
+    shuffled. Ids that stand in several rows are decided by id and fingerprint together.
+    """
+    found = stage(near_duplicates(docs, id_col, text_col, radius, words).withColumnRenamed(id_col, "_id"), "found")
+    per_id = found.groupBy("_id").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("component"))
+    goes = per_id.filter((F.col("times") > 1) | ~F.col("_id").eqNullSafe(F.col("component")))
+    goes = stage(goes.select("_id", (F.col("times") > 1).alias("repeated")), "goes")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = rows.join(kept, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_kept")))
-    once = rows.filter("_times = 1").select("_row.*")
-    if not kept.filter("_times > 1").limit(1).count():
+    own = F.col(f"_row.`{id_col}`")
+    once = rows.join(goes, own.eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
+    if not goes.filter("repeated").limit(1).count():
         return once
-    return once.union(rows.filter("_times > 1").groupBy("_kept").agg(F.min("_row").alias("_row")).select("_row.*"))
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+
+    again = rows.join(goes.filter("repeated"), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fp_of(F.col(f"_row.`{text_col}`").cast("string")))
+    stays = found.filter(F.col("_id").eqNullSafe(F.col("component"))).select("_id", "fp").distinct()
+    again = again.join(stays, own.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("fp")), "left_semi")
+    # rows with one id may stay for different components
+    of = found.select(F.col("fp").alias("_f"), "root").distinct()
+    again = again.join(of, F.col("_fp") == F.col("_f")).groupBy("root").agg(F.min("_row").alias("_row"))
+    return once.union(again.select("_row.*"))
