@@ -85,7 +85,7 @@ class Repository:
         nodes, edges = self.store.read()
         files = self.files.select(schema.file_id(F.col("path")).alias("id"), "path", "text")
         terms = stage(rank.file_terms(files), "terms")
-        found = rank.text_match(terms, asked)
+        found = rank.text_match(terms, asked, files.select("id"))
         total = files.select("id").agg(F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
         named = rank.name_answers(nodes, rank.document_frequency(terms), asked, total).withColumn("answers", F.lit(True))
         exact = rank.exact_symbols(nodes, asked).withColumn("exact", F.lit(True))

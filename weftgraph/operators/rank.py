@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
+from weftgraph.plans.staging import stage
 
 # Weights of node types by task type (1 where absent), names and endings of prose and settings.
 TYPE_WEIGHTS = (
@@ -65,12 +66,16 @@ def wanted_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(F.transform(parts, T.stem))).alias("term"))
 
 
-def text_match(terms: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, id, match): part of a question's inverse document frequencies that a file's terms cover."""
-    files = terms.select("id").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("files"))
+def text_match(terms: DataFrame, questions: DataFrame, files: DataFrame) -> DataFrame:
+    """(qid, id, match): part of a question's inverse document frequencies that a file's terms cover.
+
+    files: any table with a row for each file, to be counted. The postings of the words asked for are
+    written once; frequencies and matches are taken from them.
+    """
+    total = files.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("files"))
     wanted = wanted_terms(questions)
-    hits = terms.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")  # questions are few and short
-    weights = wanted.join(document_frequency(hits), "term", "left").crossJoin(F.broadcast(files))
+    hits = stage(terms.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi"), "postings")  # questions are few and short
+    weights = wanted.join(document_frequency(hits), "term", "left").crossJoin(F.broadcast(total))
     weights = weights.select("qid", "term", idf(F.col("df"), F.col("files")).alias("w"))
     most = weights.groupBy("qid").agg(F.sum("w").alias("most"))
     found = hits.join(F.broadcast(weights), "term").groupBy("qid", "id").agg(F.sum("w").alias("w"))

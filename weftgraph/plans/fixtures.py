@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.staging import stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +20,19 @@ def _id(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
+_WRITTEN: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as a store holds them: written once for each application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        nodes, edges = derive(spark, sf_dir)
+        _WRITTEN[key] = stage(nodes, "nodes"), stage(edges, "edges")
+    return _WRITTEN[key]
+
+
+def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of five kinds; belonging by foreign keys, imports from line items, and a cyclic graph of
     nations; one edge ends at a node that doesn't exist."""
     nodes = None

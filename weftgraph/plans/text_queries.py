@@ -301,13 +301,13 @@ def _(spark, d):
 @query("g12_idf", f"WITH {_TERMS}, n AS (SELECT count(DISTINCT id) AS files FROM terms) SELECT term, round(ln((any_value(files) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM terms CROSS JOIN n GROUP BY term")
 def _(spark, d):
     t = terms(spark, d)
-    files = t.select("id").distinct().agg(F.count(F.lit(1)).alias("files"))
+    files = X.files(spark, d).agg(F.count(F.lit(1)).alias("files"))
     return rank.document_frequency(t).crossJoin(F.broadcast(files)).select("term", F.round(rank.idf(F.col("df"), F.col("files")), 6).alias("idf"))
 
 
 @query("g13_text_match", f"{_RANK} SELECT qid, id, round(match, 6) AS match FROM found")
 def _(spark, d):
-    return rank.text_match(terms(spark, d), asked(spark)).select("qid", "id", F.round("match", 6).alias("match"))
+    return rank.text_match(terms(spark, d), asked(spark), X.files(spark, d).select("id")).select("qid", "id", F.round("match", 6).alias("match"))
 
 
 @query("g14_g15_weak_files", f"{W} SELECT path, regexp_matches(list_last(string_split(path, '/')), '^test_|_test(\\.py)?$') AS is_test, regexp_matches(list_last(string_split(path, '/')), '\\.(md|markdown|rst|txt|adoc)$') AS is_prose FROM files")
@@ -349,7 +349,7 @@ def scored(spark, d):
     bounds = files.agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
     ends = files.select("id", "path", "doc_id").crossJoin(F.broadcast(bounds))
     ends = ends.select("id", "path", (F.col("doc_id") != F.col("_hi")).cast("int").alias("o"), (F.col("doc_id") != F.col("_lo")).cast("int").alias("i"))
-    found = rank.text_match(terms(spark, d), asked(spark)).join(F.broadcast(asked(spark).select("qid", "kind")), "qid").join(ends, "id")
+    found = rank.text_match(terms(spark, d), asked(spark), X.files(spark, d).select("id")).join(F.broadcast(asked(spark).select("qid", "kind")), "qid").join(ends, "id")
     value = rank.score(F.col("path"), F.lit("FILE"), F.lit(0.95), F.col("o"), F.col("i"), F.col("match"), F.col("kind"))
     return found.select("qid", "id", "path", value.alias("score"))
 
