@@ -61,6 +61,15 @@ def test_proposed_edits(repo):
     found = {r.path: r for r in repo.propose(reply).collect()}
     assert found["app/helpers.py"].verdict == "applies" and "def ranked" in found["app/helpers.py"].result and found["app/helpers.py"].score == 14
     assert found["gone.py"].verdict == "unreadable" and found["app/main.py"].verdict == "unanchored"
+    seen = []
+    reviewed = repo.ask("how are nodes ranked", lambda prompt: seen.append(prompt) or reply).collect()
+    assert "def rank_nodes" in seen[0] and len(reviewed) == 3
+
+
+def test_ignore_rules():
+    from weftgraph.sources.scan import ignore_rules
+
+    assert ignore_rules("# no\n\n/build/\n*.log\n!keep\n") == ("build", "*.log")
 
 
 def test_parsers():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,5 +136,11 @@ class Repository:
         risk = edits.risk(F.size("d.added"), F.size("d.removed"), F.size("d.modified"), F.lit(0))
         return rated.select("path", "verdict", "result", risk.alias("r")).select("path", "verdict", "result", "r.level", "r.score")
 
+    def ask(self, question: str, model: Callable[[str], str], budget: int = DEFAULT_BUDGET) -> DataFrame:
+        """Hands a question with its rendered pack to a model and reviews the edits in its reply."""
+        pack = self.context([question], budget).filter("snippet IS NOT NULL")
+        shown = rank.render(pack.select("qid", "id", "rank", "snippet")).first()
+        return self.propose(model(f"{question}\n\n{shown.text if shown else ''}\n\nReply with JSON: {{\"edits\": [{{\"path\", \"old_text\", \"new_text\", \"reason\"}}]}}"))
+
     def _ids(self, *ids: str) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "id string")

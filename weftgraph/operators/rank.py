@@ -205,3 +205,19 @@ def render(ranked: DataFrame, max_chars: int = 24_000, lines: int = 40, by: str
     order = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = ranked.withColumn("_part", part).withColumn("_used", F.sum(F.length("_part")).over(order)).filter(F.col("_used") <= max_chars)
     return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_part"))), lambda x: x["_part"]), "\n").alias("text"))
+
+
+def hidden_risks(nodes: DataFrame, risk: Column) -> DataFrame:
+    """(id, message) of risky nodes."""
+    return nodes.withColumn("_r", risk).filter(F.col("_r").isin("high", "medium")).select("id", F.format_string("%s risk: %s", F.col("_r"), F.col("name")).alias("message"))
+
+
+def required_files(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """Files (file) that are a kept node's path or a part of it; the kept nodes are a pack, and so few."""
+    few = F.broadcast(kept.select(F.col("path").alias("_path")).distinct())
+    return files.join(few, F.col("_path").contains(F.col("file")), "left_semi")
+
+
+def pack_edges(edges: DataFrame) -> DataFrame:
+    """A pack's edges: all depend on each other for a reader; the true type is kept beside."""
+    return edges.withColumn("true_type", F.col("type")).withColumn("type", F.lit("DEPENDS_ON"))

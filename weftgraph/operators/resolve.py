@@ -13,6 +13,17 @@ def dotted(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), "/", ".")
 
 
+def common_root(files: DataFrame, installed: tuple[str, ...] = ("node_modules", "venv", ".venv", "site-packages")) -> DataFrame:
+    """(root): the folders that all paths share, null for one file only, for none, or inside installed
+    packages. The common prefix of all paths is that of the least and the greatest as arrays."""
+    parts = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    ends = files.agg(F.min(parts).alias("a"), F.max(parts).alias("b"), F.count(F.lit(1)).alias("n"))
+    n = F.least(F.size("a"), F.size("b"))
+    same = F.size(F.filter(F.sequence(F.lit(0), n), lambda k: F.slice("a", F.lit(1), k) == F.slice("b", F.lit(1), k))) - 1
+    root = F.array_join(F.slice("a", F.lit(1), same), "/")
+    return ends.select(F.when((F.col("n") >= 2) & (root != "") & ~F.arrays_overlap(F.slice("a", F.lit(1), same), F.array(*[F.lit(x) for x in installed])), root).alias("root"))
+
+
 def module_index(files: DataFrame) -> DataFrame:
     """(key, path): dotted module, bare stem, and every dotted prefix of each file (path, ord); of files
     with one key the last wins."""

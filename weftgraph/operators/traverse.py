@@ -107,3 +107,10 @@ def circular_dependencies(dependencies: DataFrame, longest: int = 4) -> DataFram
 def related_concepts(edges: DataFrame, seeds: DataFrame, depth: int = 2, prefix: str = "concept:") -> DataFrame:
     """Ids of concepts within forward reach."""
     return reach(edges, seeds, depth).filter(F.col("id").startswith(prefix)).select("id", "depth")
+
+
+def expand(edges: DataFrame, seeds: DataFrame, up: int, down: int, budget: int) -> DataFrame:
+    """(id, depth): the seeds and what lies up to `up` edges before or `down` edges after them, nearest
+    first and by id, cut to the budget of nodes."""
+    found = reach(edges, seeds, up, reverse=True).select("id", "depth").union(reach(edges, seeds, down).select("id", "depth"))
+    return found.groupBy("id").agg(F.min("depth").alias("depth")).orderBy("depth", "id").limit(budget)

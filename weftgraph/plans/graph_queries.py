@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph import schema
-from weftgraph.operators import enrich, lookups, resolve, store, traverse
+from weftgraph.operators import enrich, lookups, rank, resolve, store, traverse
 from weftgraph.plans import fixtures as X
 from weftgraph.plans.registry import query
 
@@ -411,3 +411,37 @@ UNION ALL SELECT 'file:' || path, 'file:' || path, 'IMPORTS', 2, '..' || split_p
 UNION ALL SELECT 'file:' || path, 'file:' || path, 'IMPORTS', 3, './' || name || '.py' FROM base""")
 def _(spark, d):
     return resolve.resolve(part_imports(spark, d), part_files_ordered(spark, d))
+
+
+@query("c03_common_root", "SELECT 'src/' || min(n_regionkey) AS root FROM nation WHERE n_regionkey = 3")
+def _(spark, d):
+    n = X.table(spark, d, "nation").filter("n_regionkey = 3")
+    return resolve.common_root(n.select(F.concat(F.lit("src/"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_name"), F.lit("/x.py")).alias("path")))
+
+
+@query("c07_script_candidates", """WITH s AS (SELECT p_partkey AS k FROM part) SELECT 'file:web/' || k || '.js' AS from_node, CASE k % 3 WHEN 0 THEN 'file:lib/' || k || '.ts' WHEN 1 THEN 'file:lib/' || k || '/index.tsx' END AS to_node, 'IMPORTS' AS type, 1 AS line, '../lib/' || k AS import_str FROM s WHERE k % 3 < 2""")
+def _(spark, d):
+    p = X.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"), (F.col("p_partkey") % 3).alias("m"))
+    script = F.concat(F.lit("web/"), "k", F.lit(".js"))
+    lib = F.concat(F.lit("lib/"), "k", F.when(F.col("m") == 0, ".ts").when(F.col("m") == 1, "/index.tsx").otherwise(".css"))
+    files = p.select(F.explode(F.array(script, lib)).alias("path")).withColumn("ord", F.col("path"))
+    deps = p.select(script.alias("source_file"), F.concat(F.lit("../lib/"), "k").alias("target_module"), F.lit(0).alias("level"), F.lit(1).alias("line"))
+    return resolve.resolve(deps, files)
+
+
+@query("g09_seed_expansion", R + "up AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT e.from_node, depth + 1 FROM up JOIN edges e ON e.to_node = up.id WHERE depth < 2), down AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT e.to_node, depth + 1 FROM down JOIN edges e ON e.from_node = down.id WHERE depth < 2), found AS (SELECT id, min(depth) AS depth FROM (SELECT * FROM up UNION ALL SELECT * FROM down) GROUP BY id) SELECT id, depth::INTEGER AS depth FROM found ORDER BY depth, id LIMIT 100")
+def _(spark, d):
+    return traverse.expand(X.graph(spark, d)[1], ids(spark, "nation:3"), 2, 2, 100)
+
+
+@query("g24_hidden_risks", f"{G} SELECT id, CASE source WHEN 'region' THEN 'high' ELSE 'medium' END || ' risk: ' || name AS message FROM nodes WHERE source IN ('region', 'nation')")
+def _(spark, d):
+    risk = F.when(F.col("source") == "region", "high").when(F.col("source") == "nation", "medium").otherwise("low")
+    return rank.hidden_risks(X.graph(spark, d)[0], risk)
+
+
+@query("g31_pack_edges", f"{G}, {_SEL} SELECT from_node, to_node, 'DEPENDS_ON' AS type, type AS true_type FROM edges WHERE from_node IN (SELECT id FROM sel) AND to_node IN (SELECT id FROM sel) ORDER BY from_node, to_node, edges.type LIMIT 50")
+def _(spark, d):
+    nodes, edges = X.graph(spark, d)
+    critical = lookups.critical_edges(edges, nodes.filter("source = 'nation'").select("id"))
+    return rank.pack_edges(critical).select("from_node", "to_node", "type", "true_type")

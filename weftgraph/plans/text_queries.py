@@ -409,3 +409,50 @@ def context_pack(spark, d):
     cost = rank.tokens(F.concat(F.col("id"), F.lit(" "), rank.base_name(F.col("path")), F.lit(" FILE")))
     cut = rank.budget_cut(top.withColumn("cost", cost).withColumn("is_seed", F.lit(False)), BUDGET)
     return cut.select("qid", "id", "path", "rank", "score", "used")
+
+
+@query("g18_type_weights", "SELECT kind, type, coalesce(w, 1.0::DOUBLE) AS weight FROM (VALUES ('BUG_FIX'), ('REFACTOR'), ('ANALYSIS'), ('OPTIMIZATION')) AS k(kind) CROSS JOIN (VALUES ('FILE'), ('CLASS'), ('FUNCTION'), ('MODULE'), ('CONFIG')) AS t(type) LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{t}', {w}::DOUBLE)" for k, t, w in rank.TYPE_WEIGHTS) + ") AS w(kind, type, w) USING (kind, type)")
+def _(spark, d):
+    rows = [(k, t) for k in ("BUG_FIX", "REFACTOR", "ANALYSIS", "OPTIMIZATION") for t in ("FILE", "CLASS", "FUNCTION", "MODULE", "CONFIG")]
+    return spark.createDataFrame(rows, "kind string, type string").withColumn("weight", rank.weight_of_type(F.col("kind"), F.col("type")))
+
+
+@query("g27_required_files", f"{_RANK}, {_SCORE}, own AS (SELECT DISTINCT split_part(path, '/', 1) AS file FROM files) SELECT file FROM own WHERE EXISTS (SELECT 1 FROM top WHERE contains(top.path, file))")
+def _(spark, d):
+    top = rank.top_k(scored(spark, d), rank.most_nodes(BUDGET))
+    return rank.required_files(X.files(spark, d).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("file")).distinct(), top)
+
+
+_EACH = 2400
+_SNIPPETS = f"t AS (SELECT qid, rank, id, left(text, {_EACH + 1}) AS text FROM top JOIN files USING (id)), w AS (SELECT qid, 0::BIGINT AS r, {int(BUDGET * 0.7) * 4}::BIGINT AS room, NULL::VARCHAR AS id, NULL::VARCHAR AS snippet FROM asked UNION ALL SELECT w.qid, t.rank, CASE WHEN room <= 200 THEN room WHEN length(text) > least(room, {_EACH}) THEN room - length(regexp_replace(left(text, least(room, {_EACH})), '\\n[^\\n]*$', '')) ELSE room - length(text) END, CASE WHEN room > 200 THEN t.id END, CASE WHEN room <= 200 THEN NULL WHEN length(text) > least(room, {_EACH}) THEN regexp_replace(left(text, least(room, {_EACH})), '\\n[^\\n]*$', '') || chr(10) || '...' ELSE text END FROM w JOIN t ON t.qid = w.qid AND t.rank = w.r + 1)"
+
+
+def packed_snippets(spark, d):
+    top = rank.top_k(scored(spark, d), rank.most_nodes(BUDGET))
+    texts = X.files(spark, d).select("id", "text").join(F.broadcast(top.select("qid", "id", "rank")), "id")
+    return rank.snippets(texts, BUDGET, each=_EACH)
+
+
+@query("g30_snippets", f"{_RANK.replace('WITH files', 'WITH RECURSIVE files')}, {_SCORE}, {_SNIPPETS} SELECT qid, id, r::INTEGER AS rank, snippet FROM w WHERE id IS NOT NULL")
+def _(spark, d):
+    return packed_snippets(spark, d)
+
+
+@query("g33_render", f"{_RANK.replace('WITH files', 'WITH RECURSIVE files')}, {_SCORE}, {_SNIPPETS}, p AS (SELECT qid, r, '## ' || id || chr(10) || array_to_string((regexp_split_to_array(snippet, '\\r\\n|\\r|\\n'))[1:40], chr(10)) AS part FROM w WHERE id IS NOT NULL), u AS (SELECT *, sum(length(part)) OVER (PARTITION BY qid ORDER BY r) AS used FROM p) SELECT qid, string_agg(part, chr(10) ORDER BY r) AS text FROM u WHERE used <= 24000 GROUP BY qid")
+def _(spark, d):
+    return rank.render(packed_snippets(spark, d))
+
+
+@query("s18_stamps", f"{W} SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'unchanged' END AS change FROM files")
+def _(spark, d):
+    return scan.changes(*snapshots(spark, d), by=("size_bytes",))
+
+
+@query("s19_explorer", f"{W}, p AS (SELECT string_split(path, '/') AS p FROM files), s AS (SELECT p, unnest(range(1, len(p) + 1)) AS n FROM p) SELECT DISTINCT CASE WHEN n = 1 THEN '.' ELSE array_to_string(p[1:n-1], '/') END AS parent, p[n] AS child FROM s WHERE n <= 12 ORDER BY parent, child LIMIT 5000")
+def _(spark, d):
+    return scan.explorer(X.files(spark, d))
+
+
+@query("p09_calls", f"WITH {_MODULE} SELECT path, 'helper' AS call FROM m")
+def _(spark, d):
+    return parse.with_parsed(modules(spark, d)).select("path", F.explode("parsed.calls").alias("call"))

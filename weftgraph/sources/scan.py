@@ -74,6 +74,12 @@ def is_ignored(path: Column, globs: tuple[str, ...] = (), dirs: tuple[str, ...]
     return out
 
 
+def ignore_rules(text: str) -> tuple[str, ...]:
+    """Globs of an ignore file: no blank lines, comments or negations, without a leading slash."""
+    lines = (line.strip() for line in text.splitlines())
+    return tuple(line.lstrip("/").rstrip("/") for line in lines if line and line[0] not in "#!")
+
+
 def _like(regex: str):
     return lambda part: part.rlike(regex)
 
@@ -193,3 +199,9 @@ def statistics(files: DataFrame) -> DataFrame:
 def preview(files: DataFrame, lines: int = 200) -> DataFrame:
     """(path, line, text): the first lines of each file, numbered from 1."""
     return files.select("path", F.posexplode(F.slice(F.split("text", "\r\n|\r|\n"), 1, lines)).alias("_i", "text")).select("path", (F.col("_i") + 1).alias("line"), "text")
+
+
+def explorer(files: DataFrame, deepest: int = 12, entries: int = 5000) -> DataFrame:
+    """(parent, child): the first entries of the tree in order, down to a depth."""
+    depth = F.when(F.col("parent") == ".", 1).otherwise(F.size(F.split("parent", "/")) + 1)
+    return tree(files).filter(depth <= deepest).orderBy("parent", "child").limit(entries)
