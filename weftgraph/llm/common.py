@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import shared_dir, stage
 
-__all__ = ["broadcast_if_small", "connected_components", "shared_dir", "stage"]
+__all__ = ["broadcast_if_small", "connected_components", "shared_dir", "small_batches", "stage"]
+
+
+TEXTS = 1_024  # rows of a batch of whole texts that is handed to Python
+
+
+def small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
+    """Bounds the batches of whole texts that Python workers hold; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
 
 
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = 200_000) -> DataFrame:

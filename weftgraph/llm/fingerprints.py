@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark import TaskContext
 
-from weftgraph.llm.common import stage
+from weftgraph.llm.common import small_batches, stage
 
 WORDS = 5
 BITS = 128
@@ -102,6 +102,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     document only; the last of a range and the first of the next one are written out with their
     texts, one of each for a range, and joined.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     order = [F.col("id").desc_nulls_last(), F.col("text").asc()]
     ranged = docs.repartitionByRange(F.col("id").desc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(*order)

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import small_batches
 from weftgraph.llm.html_dom import Block, attributes, parse
 
 TAGS = (
@@ -219,6 +220,7 @@ def main_texts(pages: list[str | None], model: Model) -> list[str]:
 
 def extract(pages: DataFrame, html_col: str = "html", model: Model | None = None) -> DataFrame:
     """row (a struct of all columns) and text of every row."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())  # some hundred weights
 
     @F.pandas_udf("string")

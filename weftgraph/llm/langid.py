@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import small_batches, stage
+
 GRAM = 4
 SAMPLE = 4_000  # documents of a language that are learned from, about; the bound of the training sample
 SHARE = 2e-5  # an n-gram is in a filter if it makes up at least this part of the language's: 50,000 n-grams at most
@@ -152,8 +154,6 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return pd.DataFrame({"lang": language, "gram": gram.view(np.int64), "n": n})
 
     found = chosen.mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from weftgraph.llm.common import stage
-
     found = stage(found, "grams")
     totals = found.groupBy("lang").agg(F.sum("n").alias("total"))
     common = found.join(F.broadcast(totals), "lang").filter(F.col("n") >= SHARE * F.col("total")).select("lang", "gram")
@@ -163,6 +163,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
     """row (a struct of all columns), lang_pred, score and share of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double, share double")

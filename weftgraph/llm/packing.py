@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from weftgraph.llm.common import small_batches
+
 WINDOW = 1024
 END = 0
 BLOCK = 32_768  # remainders that are packed together
@@ -154,6 +156,7 @@ def pack(
 ) -> DataFrame:
     """A row for each piece: id_col, start, length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     last = np.array([end], dtype="<u4").tobytes()
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import small_batches
+
 KEY = "surrogates-1"
 _CACHED = 200_000
 
@@ -322,6 +324,7 @@ _ENTITIES = "array<struct<kind:string,start:int,end:int,surrogate:string,entity_
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """row (a struct of all columns), text (with surrogates) and entities of every row."""
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf(f"text string, entities {_ENTITIES}")
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         surrogates = Surrogates(key)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import broadcast_if_small, connected_components, stage
+from weftgraph.llm.common import broadcast_if_small, connected_components, small_batches, stage
 
 WORDS = 3  # words of a shingle
 RADIUS = 2  # bits in which linked fingerprints may differ
@@ -58,6 +58,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
+    small_batches(docs.sparkSession)
     docs = docs.select(id_col, F.col(text_col).cast("string"))
     return docs.mapInArrow(each, f"`{id_col}` {docs.schema[0].dataType.simpleString()}, fp long")
 
