@@ -56,7 +56,13 @@ def test_edges_of_language_id(spark):
     assert [of[k].lang_pred for k in (100, 101, 102)] == ["und"] * 3 and of[100].score == 0
     assert of[103].lang_pred == of[None].lang_pred == "en" and of[104].lang_pred == "de" and of[105].share == 0
     assert langid.identify(df.limit(0)).count() == 0
-    assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert of[105].lang_pred == "de" and of[105].score == 0  # the language with the most text
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
+    stays = lambda d: sorted(r.doc_id or 0 for r in corpus_pipeline.language_id(spark, d, "").collect())
+    assert stays(unlabelled) == stays(df) == sorted([0, *range(20), 103, 104, 105])
+    odd = df.withColumn("text", F.when(F.col("doc_id") == 105, F.repeat(F.lit("東京"), 40)).otherwise(F.col("text")))
+    assert 105 not in stays(odd)
 
 
 # PII

@@ -6,7 +6,8 @@ all languages containing an n-gram. A text's n-grams are counted for each langua
 corrected for each filter's false positives, decide.
 
 Defined results. `und` with score 0 if the text is null, empty or has no letter, or if nothing was
-learned. Equal counts go to the language first by code point. Whole texts are read, in pieces of
+learned. Equal counts go to the language first by code point; a text of which no n-gram is known goes
+to the language with the most training text, with score 0. Whole texts are read, in pieces of
 bounded size. Rows without a language or an id are predicted but not learned from. Repeated rows
 are alike. An empty table gives an empty result. Other columns, whatever their names, are carried
 along untouched, but never an input of a prediction.
@@ -76,9 +77,10 @@ class Filters:
     languages: list[str]
     masks: np.ndarray
     false_positives: np.ndarray
+    usual: str = "und"  # the language with the most training text
 
     @staticmethod
-    def of(members: dict[str, np.ndarray]) -> Filters:
+    def of(members: dict[str, np.ndarray], usual: str = "und") -> Filters:
         languages = sorted(members)
         size = 1 << max(12, (16 * max((len(x) for x in members.values()), default=1) - 1).bit_length())
         masks = np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64)
@@ -88,7 +90,7 @@ class Filters:
             for where in Filters.positions(members[language], size):
                 masks[where, k // 64] |= bit
             rates[k] = np.count_nonzero(masks[:, k // 64] & bit) / size
-        return Filters(languages, masks, rates**HASHES)
+        return Filters(languages, masks, rates**HASHES, usual)
 
     @staticmethod
     def positions(hashes: np.ndarray, size: int) -> list[np.ndarray]:
@@ -119,9 +121,11 @@ class Filters:
         if shares is None or not len(shares):
             return "und", 0.0, 0.0
         best = int(np.argmax(shares))
+        if not shares[best]:
+            return self.usual, 0.0, 0.0
         second = np.delete(shares, best).max(initial=0.0)
         share = float(shares[best])
-        return self.languages[best], share / (share + float(second)) if share else 0.0, share
+        return self.languages[best], share / (share + float(second)), share
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
@@ -156,9 +160,10 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     found = chosen.mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = stage(found, "grams")
     totals = found.groupBy("lang").agg(F.sum("n").alias("total"))
+    usual = totals.orderBy(F.col("total").desc(), "lang").first()
     common = found.join(F.broadcast(totals), "lang").filter(F.col("n") >= SHARE * F.col("total")).select("lang", "gram")
     common = common.toPandas()  # at most 1 / SHARE rows of each language
-    return Filters.of({k: g["gram"].to_numpy(np.int64).view(np.uint64) for k, g in common.groupby("lang")})
+    return Filters.of({k: g["gram"].to_numpy(np.int64).view(np.uint64) for k, g in common.groupby("lang")}, usual.lang if usual else "und")
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
