@@ -163,8 +163,9 @@ def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, bl
     parts = {r.leaf: r.parts for r in large.collect()}  # at most one row a leaf, and a tree has LEAVES of them
 
     def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A leaf in s blocks becomes s cells of one block and a cell for each two blocks."""
-        for f in frames:
+        """A leaf in s blocks becomes s cells of one block and a cell for each two blocks. Routing is done
+        again in the same pass, so that a task keeps one Python worker and not two."""
+        for f in to_leaves(frames):
             fp, leaf = f["fp"].to_numpy(np.int64), f["leaf"].to_numpy()
             s = np.array([parts.get(x, 1) for x in leaf.tolist()])
             mix = fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -182,7 +183,7 @@ def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, bl
         m = roots != np.arange(len(own))
         return pd.DataFrame({"a": own[m], "b": own[roots[m]]})
 
-    cells = routed.mapInPandas(to_cells, "leaf long, lo long, hi long, side int, fp long")
+    cells = fps.select("fp").mapInPandas(to_cells, "leaf long, lo long, hi long, side int, fp long")
     return cells.groupBy("leaf", "lo", "hi").applyInPandas(in_cell, "a long, b long")
 
 
