@@ -10,7 +10,7 @@ are returned untouched by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -195,6 +195,12 @@ def near_duplicates(
     rows = stage(with_fingerprints(docs, id_col, text_col, words), "fp")
     fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "fps")
     edges = links(fps, fps.count(), radius)
+    return with_components(rows, fps, edges, id_col)
+
+
+def with_components(rows: DataFrame, fps: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, fp, component, root) of rows (id_col, fp), given the smallest id of each fingerprint in
+    fps (fp, least) and the edges (a, b) between fingerprints."""
     members = stage(connected_components(edges), "members")
     least = members.join(fps, members.node == fps.fp).groupBy("root").agg(F.min("least").alias("component"))
     joined = members.join(broadcast_if_small(least, members.count()), "root").select(F.col("node").alias("fp"), "component", "root")
@@ -210,7 +216,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Few documents go, so their ids are taken off; only where they outgrow a broadcast are texts
     shuffled. Ids that stand in several rows are decided by id and fingerprint together.
     """
-    found = stage(near_duplicates(docs, id_col, text_col, radius, words).withColumnRenamed(id_col, "_id"), "found")
+    found = near_duplicates(docs, id_col, text_col, radius, words)
+    return keep_least(docs, found, lambda t: fingerprint(t, words), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """``keep_one`` for components `found` (id_col, fp, component, root); print_of gives a text's fp, unsigned."""
+    found = stage(found.withColumnRenamed(id_col, "_id"), "found")
     per_id = found.groupBy("_id").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("component"))
     goes = per_id.filter((F.col("times") > 1) | ~F.col("_id").eqNullSafe(F.col("component")))
     goes = stage(goes.select("_id", (F.col("times") > 1).alias("repeated")), "goes")
@@ -222,7 +234,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     @F.pandas_udf("long")
     def fp_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([print_of(t) for t in texts], dtype=np.uint64).view(np.int64))
 
     again = rows.join(goes.filter("repeated"), own.eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fp_of(F.col(f"_row.`{text_col}`").cast("string")))
     stays = found.filter(F.col("_id").eqNullSafe(F.col("component"))).select("_id", "fp").distinct()
