@@ -32,6 +32,7 @@ from weftgraph.llm.common import small_batches
 
 KEY = "surrogates-1"
 _CACHED = 200_000
+_PIECE = 512  # characters of a secret that are permuted at a time
 
 #: Classes of characters that replace each other; the first that holds a character counts.
 VOWELS = ("aeiou", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "аеёиоуыэюя", "αεηιουωάέήίόύώ")
@@ -69,8 +70,8 @@ _NUMBER = re.compile(
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?!\w)")
 _IPV6 = re.compile(r"(?<![\w:])(?:[\da-fA-F]{1,4}:){7}[\da-fA-F]{1,4}(?![\w:])")
 _SECRET = re.compile(
-    r"\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)\b[\"']?\s{0,3}[=:]\s{0,3}"
-    r"(?:\"(?P<a>[^\s\"]{6,512})\"|'(?P<b>[^\s']{6,512})'|(?P<c>[A-Za-z\d_\-+/=.]{16,512}))", re.IGNORECASE)
+    r"(?<![^\W_])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)\b[\"']?\s{0,3}[=:]\s{0,3}"
+    r"(?:\"(?P<a>[^\s\"]{6,})\"|'(?P<b>[^\s']{6,})'|(?P<c>[A-Za-z\d_\-+/=.]{16,}))", re.IGNORECASE)
 _SECRET_CLUE = re.compile(r"token|secret|passw|pwd|key|auth", re.IGNORECASE)
 _DIGIT_CLUE = re.compile(r"\d[\d ().-]{5}|\d:")
 
@@ -146,7 +147,7 @@ class Surrogates:
     def _canonical(kind: str, text: str) -> str:
         return "".join(map(_lower, text))
 
-    def chars(self, kind: str, text: str, classes: Callable[[int, str], str], fits: Callable[[str], bool] = lambda _: True) -> str:
+    def chars(self, kind: str, text: str, classes: Callable[[int, str], str], fits: Callable[[str], bool] = lambda _: True, shout: bool | None = None) -> str:
         """Replaces characters inside their classes ('' keeps one). `fits` may restrict both originals
         and surrogates to a subset of a format; the permutation is then walked until it is met."""
         low = [_lower(c) for c in text]
@@ -167,7 +168,7 @@ class Surrogates:
                     new[i] = own[i][k]
             if fits("".join(new)):
                 break
-        shout = text.isupper()  # digits that become letters follow the whole text's case
+        shout = text.isupper() if shout is None else shout  # digits that become letters follow the whole text's case
         upper = (n.upper() if (o != l or shout and not o.isalpha()) and len(n.upper()) == 1 else n for n, o, l in zip(new, text, low, strict=True))
         return "".join(upper)
 
@@ -229,10 +230,17 @@ class Surrogates:
         return self.chars("ipv6", text, lambda i, c: "" if i < 4 or c == ":" else HEX)
 
     def secret(self, text: str) -> str:
-        low = text.lower()
+        """Long ones are permuted in pieces, each under a key that all before it decide: a permutation of the whole."""
+        low = _lower_all(text)
+        kind, of = "secret", lambda _, c: DIGITS if "0" <= c <= "9" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else _class_of(c)
         if re.fullmatch(r"[\da-f]+", low):
-            return self.chars("hex", text, lambda _, c: HEX)
-        return self.chars("secret", text, lambda _, c: DIGITS if "0" <= c <= "9" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else _class_of(c))
+            kind, of = "hex", lambda _, c: HEX
+        before, out = hashlib.blake2b(digest_size=16), []
+        for at in range(0, len(text), _PIECE):
+            tag = f"{kind}/{before.hexdigest()}" if at else kind
+            out.append(self.chars(tag, text[at : at + _PIECE], of, shout=text.isupper()))
+            before.update(low[at : at + _PIECE].encode("utf-8", "surrogatepass"))
+        return "".join(out)
 
     def given(self, text: str) -> str:
         group, i = _BY_NAME[text]
