@@ -1,5 +1,6 @@
 """Detections that must cover the whole entity."""
 
+import ipaddress
 import random
 
 from weftgraph.llm import pii
@@ -18,3 +19,24 @@ def test_secrets_of_any_length_and_with_prefixed_names():
     assert not pii.detect("subtoken=abcdef0123456789abcdef")
     same = "a1" * 256
     assert s("secret", same + "xyz") != s("secret", same + "xyw") and s("secret", "F1" * 400).isupper()
+
+
+def test_ipv6_in_all_writings():
+    s = pii.Surrogates()
+    for own in ("2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334", "FE80::1A2B", "::1", "2001:db8::", "::ffff:10.1.2.3", "1:2:3:4:5:6:7:8"):
+        new, found = pii.replace(f"from {own}, at 12:30:45.", s)
+        assert [(e[0], own) for e in found] == [("ipv6", own)], own
+        surrogate = found[0][3]
+        assert ipaddress.IPv6Address(surrogate) != ipaddress.IPv6Address(own) and new == f"from {surrogate}, at 12:30:45."
+        assert surrogate.count(":") == own.count(":") and surrogate.count(".") == own.count(".") and surrogate.isupper() == own.isupper()
+    assert not pii.detect("std::vector and :: and 10:20:30 and a:b:c")
+    assert len({s("ipv6", f"2001:db8::{k:x}") for k in range(0x1000, 0x1400)}) == 0x400
+
+
+def test_names_after_honorifics():
+    s = pii.Surrogates()
+    for text in ("Dr. Aisha Khan called; Khan left, Aisha too.", "Prof. Dr. Aisha Noor Khan met Mr Khan.", "Anna Maria Khan left.", "Mr. Peter Khan left."):
+        new, found = pii.replace(text, s)
+        assert not any(name in new for name in ("Aisha", "Noor", "Khan", "Anna", "Maria", "Peter")), new
+        assert "Dr" not in text or "Dr." in new
+        assert {e[0] for e in found if text[e[1] : e[2]] == "Khan"} == {"family"} and {e[0] for e in found if text[e[1] : e[2]] == "Aisha"} <= {"given"}

@@ -2,7 +2,7 @@
 
 Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card and account numbers, US
 social security numbers, IBANs, secrets assigned to a name such as token or password, and personal
-names (an honorific or a known given name with a surname; after that the parts alone, in the same
+names (honorifics with up to three capitalised words, or known given names with a surname; after that the parts alone, in the same
 document).
 
 A surrogate keeps type, script, case, length and format: each character is replaced inside its class
@@ -21,6 +21,7 @@ result. Other columns, whatever their names, are carried along untouched.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -54,8 +55,9 @@ _BY_NAME = {name: (group, i) for group, names in GIVEN.items() for i, name in en
 _CLUES = frozenset(_BY_NAME) | frozenset(HONORIFICS)
 _WORDS = re.compile(r"[^\W\d_]+")
 _CAPITAL = r"(?:[A-ZÀ-ÖØ-ÞŠŽČŁŚА-ЯЁΑ-ΩΆ-Ώ][^\W\d_]+(?:-[A-ZÀ-ÖØ-ÞŠŽČŁŚА-ЯЁΑ-ΩΆ-Ώ][^\W\d_]+)?)"
+_LISTED = "|".join(_BY_NAME)
 _NAME = re.compile(
-    rf"\b(?:(?:{'|'.join(HONORIFICS)})\b\.? (?:(?P<given1>{'|'.join(_BY_NAME)})\b )?(?P<family1>{_CAPITAL})|(?P<given2>{'|'.join(_BY_NAME)}) (?P<family2>{_CAPITAL}))\b"
+    rf"\b(?:(?:(?:{'|'.join(HONORIFICS)})\b\.? )+(?P<titled>{_CAPITAL}(?: {_CAPITAL}){{0,2}})|(?P<listed>(?:{_LISTED})(?: (?:{_LISTED}))*) (?P<family>{_CAPITAL}))\b"
 )
 
 _LOCAL = re.compile(r"[\w.%+\-]*[\w%+\-]$")
@@ -68,7 +70,8 @@ _NUMBER = re.compile(
     r"|(?P<phone2>(?<![\w.+])(?:\+\d{8,14}|(?:\+\d{2} ?|0)\d(?:[ .-]\d{2}){4})(?!\w))"
 )
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?!\w)")
-_IPV6 = re.compile(r"(?<![\w:])(?:[\da-fA-F]{1,4}:){7}[\da-fA-F]{1,4}(?![\w:])")
+#: Candidates, which ``ipaddress`` judges.
+_IPV6 = re.compile(r"(?<![\w:.])(?:(?:[\da-fA-F]{0,4}:){2,7}(?:\d{1,3}\.){3}\d{1,3}|(?:[\da-fA-F]{0,4}:){2,7}[\da-fA-F]{0,4})(?![\w:]|\.\d)")
 _SECRET = re.compile(
     r"(?<![^\W_])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)\b[\"']?\s{0,3}[=:]\s{0,3}"
     r"(?:\"(?P<a>[^\s\"]{6,})\"|'(?P<b>[^\s']{6,})'|(?P<c>[A-Za-z\d_\-+/=.]{16,}))", re.IGNORECASE)
@@ -227,7 +230,31 @@ class Surrogates:
                 return new
 
     def ipv6(self, text: str) -> str:
-        return self.chars("ipv6", text, lambda i, c: "" if i < 4 or c == ":" else HEX)
+        """The first group stays if others follow, and zeros do; each group keeps its digits' number."""
+        groups = _ipv6_groups(text)
+        first = len(groups[0]) + 1 if groups[0] != "0" and set(groups[1:]) != {"0"} else 0
+        canonical = ":".join(groups)
+
+        def of(i: int, c: str) -> str:
+            if i < first or c == ":":
+                return ""
+            return HEX if i and canonical[i - 1] != ":" else "" if c == "0" else HEX[1:]
+
+        new = [int(g, 16) for g in self.chars("ipv6", canonical, of).split(":")]
+        head, gap, tail = text.partition("::")
+
+        def written(part: str, at: int) -> str:
+            out = []
+            for g in part.split(":") if part else []:
+                if "." in g:
+                    out.append(".".join(str(x) for two in new[at : at + 2] for x in divmod(two, 256)))
+                else:
+                    out.append(f"{new[at]:0{len(g)}x}")
+                    at += 1
+            return ":".join(out)
+
+        found = written(head, 0) + gap + written(tail, 8 - len(tail.split(":")) - ("." in tail))
+        return found.upper() if re.search("[A-F]", text) else found
 
     def secret(self, text: str) -> str:
         """Long ones are permuted in pieces, each under a key that all before it decide: a permutation of the whole."""
@@ -243,6 +270,8 @@ class Surrogates:
         return "".join(out)
 
     def given(self, text: str) -> str:
+        if text not in _BY_NAME:
+            return self.family(text)
         group, i = _BY_NAME[text]
         return GIVEN[group][self.permute(f"given/{group}", i, len(GIVEN[group]))]
 
@@ -279,6 +308,19 @@ def _ip_kind(text: str) -> str:
     return "reserved" if a in (0, 127) or a >= 224 or (a == 169 and b == 254) else "public"
 
 
+def _ipv6_groups(text: str) -> list[str]:
+    """The eight groups in lower case without leading zeros."""
+    packed = ipaddress.IPv6Address(text).packed
+    return [f"{int.from_bytes(packed[i : i + 2], 'big'):x}" for i in range(0, 16, 2)]
+
+
+def _is_ipv6(text: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(text) != ipaddress.IPv6Address("::")
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order and without overlap."""
     found: list[tuple[int, int, str]] = []
@@ -294,16 +336,15 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     if _DIGIT_CLUE.search(text):
         found += [(m.start(), m.end(), m.lastgroup.rstrip("2") if m.lastgroup == "phone2" else m.lastgroup) for m in _NUMBER.finditer(text)]
         found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
-        if ":" in text:
-            found += [(m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text)]
+    if text.count(":") > 1:
+        found += [(m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
     if ("=" in text or ":" in text) and _SECRET_CLUE.search(text):
         found += [(*m.span(m.lastgroup), "secret") for m in _SECRET.finditer(text)]
     if not _CLUES.isdisjoint(_WORDS.findall(text)):
         parts: dict[str, str] = {}
         for m in _NAME.finditer(text):
-            for group, word in m.groupdict().items():
-                if word:
-                    parts[word] = group[:-1]
+            *given, family = (m["titled"] or f"{m['listed']} {m['family']}").split(" ")
+            parts |= dict.fromkeys(given, "given") | {family: "family"}
         if parts:
             alone = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})\b")
             found += [(m.start(), m.end(), "given" if m[0] in _BY_NAME else parts[m[0]]) for m in alone.finditer(text)]
