@@ -40,3 +40,20 @@ def test_names_after_honorifics():
         assert not any(name in new for name in ("Aisha", "Noor", "Khan", "Anna", "Maria", "Peter")), new
         assert "Dr" not in text or "Dr." in new
         assert {e[0] for e in found if text[e[1] : e[2]] == "Khan"} == {"family"} and {e[0] for e in found if text[e[1] : e[2]] == "Aisha"} <= {"given"}
+
+
+def test_one_entity_in_several_writings():
+    s = pii.Surrogates()
+    for kind, *writings in (
+        ("card", "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"),
+        ("iban", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"),
+        ("phone", "+16405550953", "+1 (640) 555-0953", "+1 640-555-0953", "+1.640.555.0953"),
+        ("ipv6", "2001:db8::8a2e:370:7334", "2001:DB8:0:0:0:8A2E:370:7334", "2001:0db8:0000::8a2e:0370:7334"),
+    ):
+        found = [pii.replace(w, s)[1] for w in writings]
+        assert [[e[0] for e in x] for x in found] == [[kind]] * len(writings)
+        assert len({x[0][4] for x in found}) == 1, kind
+        assert len({s._canonical(kind, x[0][3]) for x in found}) == 1, kind
+        assert all("".join(c for c in x[0][3] if c in " -.()") == "".join(c for c in w if c in " -.()") for x, w in zip(found, writings))
+    numbers = {f"+1 (640) 5{k // 100:02d}-{k % 100:02d}00" for k in range(800)}
+    assert len({s.phone(x) for x in numbers}) == len(numbers) and not any(s.phone(x) == x for x in numbers)

@@ -33,6 +33,9 @@ from weftgraph.llm.common import small_batches
 
 KEY = "surrogates-1"
 _CACHED = 200_000
+#: Kinds that are written with or without separators.
+_SEPARATED = ("phone", "card", "iban")
+_SEPARATORS = re.compile(r"[ .()-]")
 _PIECE = 512  # characters of a secret that are permuted at a time
 
 #: Classes of characters that replace each other; the first that holds a character counts.
@@ -148,7 +151,10 @@ class Surrogates:
 
     @staticmethod
     def _canonical(kind: str, text: str) -> str:
-        return "".join(map(_lower, text))
+        """One writing of the entity: without separators where they are free, IPv6 in full."""
+        if kind in _SEPARATED:
+            return _lower_all(_compact(text))
+        return ":".join(_ipv6_groups(text)) if kind == "ipv6" else _lower_all(text)
 
     def chars(self, kind: str, text: str, classes: Callable[[int, str], str], fits: Callable[[str], bool] = lambda _: True, shout: bool | None = None) -> str:
         """Replaces characters inside their classes ('' keeps one). `fits` may restrict both originals
@@ -197,27 +203,31 @@ class Surrogates:
         return self.chars(kind, text, of)
 
     def phone(self, text: str) -> str:
-        """The country code stays."""
-        code = re.match(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,2}(?=\D))", text)
-        return self._digits("phone", text, code.end() if code else 0)
+        """The country code stays. A zero that begins the rest stays, and no other digit becomes one there."""
+        own = _compact(text)
+        code = re.match(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", own)
+        start = code.end() if code else 0
+        of = lambda i, c: "" if i < start or i == start and c == "0" else DIGITS[1:] if i == start else DIGITS
+        return _laid_over(text, self.chars("phone", own, of))
 
     def ssn(self, text: str) -> str:
         return self._digits("ssn", text)
 
     def card(self, text: str) -> str:
         """The first digit stays, and the last one differs from the right check digit as before."""
-        last = max(i for i, c in enumerate(text) if c.isdigit())
-        off = (int(text[last]) - _luhn(text[:last])) % 10
-        new = self.chars("card", text[:last], lambda i, c: DIGITS if i and c.isdigit() else "")
-        return new + str((_luhn(new) + off) % 10) + text[last + 1 :]
+        own = _compact(text)
+        off = (int(own[-1]) - _luhn(own[:-1])) % 10
+        new = self.chars("card", own[:-1], lambda i, c: DIGITS if i else "")
+        return _laid_over(text, new + str((_luhn(new) + off) % 10))
 
     def iban(self, text: str) -> str:
         """Country and check digits' validity are kept."""
-        off = (int(text[2:4]) - _mod97(text[4:], text[:2])) % 97
+        own = _compact(text)
+        off = (int(own[2:4]) - _mod97(own[4:], own[:2])) % 97
         classes = lambda i, c: "" if i < 4 else DIGITS if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else ""
-        new = self.chars("iban", text, classes)
+        new = self.chars("iban", own, classes)
         check = (_mod97(new[4:], new[:2]) + off) % 97
-        return f"{new[:2]}{check:02d}{new[4:]}"
+        return _laid_over(text, f"{new[:2]}{check:02d}{new[4:]}")
 
     def ipv4(self, text: str) -> str:
         """Private addresses stay private, others stay out of private and reserved ranges if they were."""
@@ -286,6 +296,16 @@ def _lower_all(text: str) -> str:
     return "".join(map(_lower, text))
 
 
+def _compact(text: str) -> str:
+    return _SEPARATORS.sub("", text)
+
+
+def _laid_over(text: str, new: str) -> str:
+    """The characters of `new` with the separators of `text` between them."""
+    chars = iter(new)
+    return "".join(c if _SEPARATORS.match(c) else next(chars) for c in text)
+
+
 def _luhn(payload: str) -> int:
     """The right check digit after the payload's digits."""
     total = 0
@@ -388,7 +408,10 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
 
 def collisions(replaced: DataFrame) -> DataFrame:
     """(kind, surrogate, n) of surrogates that stand for several entities: none, unless detection or
-    keys were mixed. Entities are compared by their keyed digests and combined before the shuffle."""
-    each = replaced.select(F.explode("entities").alias("e")).select("e.kind", F.lower("e.surrogate").alias("surrogate"), "e.entity_id")
+    keys were mixed. Surrogates are compared without separators where those are free, entities by their
+    keyed digests; both are combined before the shuffle."""
+    surrogate = F.lower("e.surrogate")
+    surrogate = F.when(F.col("e.kind").isin(*_SEPARATED), F.regexp_replace(surrogate, _SEPARATORS.pattern, "")).otherwise(surrogate)
+    each = replaced.select(F.explode("entities").alias("e")).select("e.kind", surrogate.alias("surrogate"), "e.entity_id")
     found = each.groupBy("kind", "surrogate").agg(F.min("entity_id").alias("least"), F.max("entity_id").alias("most"), F.count(F.lit(1)).alias("n"))
     return found.filter("least <> most").select("kind", "surrogate", "n")
