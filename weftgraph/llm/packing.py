@@ -7,7 +7,7 @@ partition is packed by itself, in blocks of bounded size, so nothing is shuffled
 most one block, and a task that runs again gives the same windows.
 
 Defined results. A null text is an empty one, and an empty one is the end id alone. Repeated rows
-are packed like others. Very long texts are tokenized whole. An empty table gives an empty result.
+are packed like others. The string of an added token, such as <|endoftext|>, is that token's id. Very long texts are tokenized whole. An empty table gives an empty result.
 Other columns are not looked at.
 """
 
@@ -46,24 +46,29 @@ class Encoder:
 
     In a byte-level BPE file whose ids follow the order of its merges, an id is the rank of its
     merge. Such a file's vocabulary runs in tiktoken, which gives the same ids in about a third of
-    the time; any other file runs in tokenizers.
+    the time; any other file runs in tokenizers. The string of an added token in a text is that token
+    if `added`, as tokenizers has it by itself, else ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ranked = self._ranked(spec)
+        self.allowed = "all" if added else set()
         self.tokenizer = None if self.ranked else Tokenizer.from_file(path)
         if self.tokenizer:
-            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.tokenizer.encode_special_tokens = not added
 
     @staticmethod
     def _ranked(spec: dict) -> tiktoken.Encoding | None:
         before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         if spec.get("normalizer") or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space"):
             return None
-        special = {t["content"] for t in spec.get("added_tokens") or [] if t.get("special")}
-        if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or len(special) < len(spec.get("added_tokens") or []):
+        added = spec.get("added_tokens") or []
+        if any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip")):
+            return None
+        special = {t["content"]: t["id"] for t in added if t.get("special")}
+        if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("ignore_merges") or len(special) < len(added):
             return None
         letters = _bytes_of_letters()
         words = sorted((i, t) for t, i in model["vocab"].items() if t not in special)
@@ -71,12 +76,12 @@ class Encoder:
         if [t for _, t in words[256:]] != merges or [i for i, _ in words] != list(range(len(words))):
             return None
         ranks = {bytes(letters[c] for c in t): i for i, t in words}
-        return tiktoken.Encoding("ranked", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranked", pat_str=WORD, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if self.ranked:
             for text in texts:
-                yield self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+                yield self.ranked.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
             return
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(x.ids, dtype="<u4").tobytes()
@@ -86,9 +91,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each file and worker."""
+    """One for each file and worker; added tokens are read as tokens."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 
