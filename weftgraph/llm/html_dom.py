@@ -7,10 +7,16 @@ import re
 from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp template svg math object canvas".split())
+#: Skipped to their end tag; markup inside is text.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+#: Skipped to the end tag that belongs to them; without one only the tag itself is.
+SKIPPED = frozenset("template svg annotation annotation-xml".split())
+MATH = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
-)
+) | MATH
 #: Block elements whose start ends an open paragraph.
 _ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -26,6 +32,18 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)(?:>|\Z)")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the elements of a name that are closed end, by the place of their start tags."""
+    ends, open_ = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.IGNORECASE):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.end()
+    return ends
+
+
 @dataclass
 class Block:
     """A block element. segments: (place in the page, text); the text of inline elements is their block's."""
@@ -49,6 +67,7 @@ def parse(page: str) -> list[Block]:
     blocks = [Block("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their block
     pending: list[str] = []
+    ends: dict[str, dict[int, int]] = {}  # of skipped elements
     links = order = at = 0
 
     def flush() -> None:
@@ -103,6 +122,23 @@ def parse(page: str) -> list[Block]:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else len(page)
             continue
+        if name in SKIPPED:
+            if name not in ends:
+                ends[name] = _ends(page, name)
+            at = ends[name].get(lt, at)
+            continue
+        if name == "xmp":
+            stop = re.compile(r"</xmp(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            flush()
+            blocks[stack[-1][1]].children += 1
+            blocks.append(Block(name, stack[-1][1], m[3]))
+            stack.append((name, len(blocks) - 1))
+            pending.append(html.escape(page[at : stop.start() if stop else len(page)]))
+            close(len(stack) - 1)
+            at = stop.end() if stop else len(page)
+            continue
+        if name in MATH and m[3].endswith("/"):
+            continue
         if name in VOID:
             if name in ("br", "wbr", "img"):
                 pending.append("" if name == "wbr" else " ")

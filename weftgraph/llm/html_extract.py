@@ -12,7 +12,9 @@ Text is decoded, white space inside a block becomes one space, and blocks are jo
 by one space.
 
 Defined results. A null or empty page, and one without content blocks, has an empty text. Broken
-markup is read leniently: unclosed elements end with their parents, a page may end anywhere. Pages
+markup is read leniently: unclosed elements end with their parents, a page may end anywhere. Text in
+math belongs to the block around it; xmp and the fallback in object, canvas and noscript are blocks
+like others; svg, template, math annotations, script, style, title and form or frame texts are not read. Pages
 without any markup are one block and are taken. Very long and deeply nested pages are read whole,
 without recursion. Repeated rows are alike. An empty table gives an empty result. Other columns,
 whatever their names, are carried along untouched.
@@ -54,6 +56,8 @@ _KINDS = ("section", "text", "list", "other", "article")  # of the child; twice,
 _KIND = {t: k for k, tags in enumerate(["div section main figure body", "p h1 h2 h3 h4 h5 h6 blockquote pre figcaption", "ul ol li dl dt dd table tr td th tbody", "", "article"]) for t in tags.split()}
 _FEATURES = ["bias", *(f"tag:{t}" for t in TAGS), "tag:?", *(f"hint:{h}" for h in HINTS), "hidden", "links", "long", "short", "ends", "stops", "paragraphs"]
 _INDEX = {name: i for i, name in enumerate(_FEATURES)}
+#: Elements that the labelled pages lack, with what the model takes them for.
+_LIKE = {"xmp": "pre", "object": "div", "canvas": "div", "noscript": "div"}
 _NOT_SHOWN = frozenset({"head"})
 EPOCHS = 300
 
@@ -88,7 +92,7 @@ def features(blocks: list[Block]) -> tuple[list[list[tuple[int, float]]], list[i
     rows, kinds = [], []
     for i, b in enumerate(blocks):
         known, hidden, label = _of_attributes(b.attrs)
-        row = [(0, 1.0), (_INDEX.get(f"tag:{b.tag}", _INDEX["tag:?"]), 1.0), *((k, 1.0) for k in known)]
+        row = [(0, 1.0), (_INDEX.get(f"tag:{_LIKE.get(b.tag, b.tag)}", _INDEX["tag:?"]), 1.0), *((k, 1.0) for k in known)]
         if hidden:
             row.append((_INDEX["hidden"], 1.0))
         row.append((_INDEX["links"], min(1.0, linked[i] / (total[i] + 1))))
@@ -101,7 +105,7 @@ def features(blocks: list[Block]) -> tuple[list[list[tuple[int, float]]], list[i
         rows.append(row)
         b.hidden, b.label = hidden, int(label) if label else None
         against = b.parent >= 0 and any(k != _INDEX["hint:content"] for k in _of_attributes(blocks[b.parent].attrs)[0])
-        kinds.append(_KIND.get(b.tag, 3) + len(_KINDS) * against)
+        kinds.append(_KIND.get(_LIKE.get(b.tag, b.tag), 3) + len(_KINDS) * against)
     return rows, kinds
 
 
