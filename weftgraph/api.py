@@ -121,7 +121,7 @@ class Repository:
         nodes, edges = self.store.read()
         return lookups.node_detail(nodes, edges, node_id)
 
-    def cycles(self, longest: int = 4) -> DataFrame:
+    def cycles(self, longest: int | None = None) -> DataFrame:
         return traverse.cycles(self.edges.filter("type = 'IMPORTS'"), longest)
 
     def propose(self, reply: str) -> DataFrame:

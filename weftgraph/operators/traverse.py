@@ -75,27 +75,52 @@ def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 32)
     return frontier.limit(0).select("path")
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(nodes array<string>): the different node sets of directed cycles of 2 to `longest` nodes, sorted.
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(nodes array<string>): the different node sets of directed cycles of 2 nodes or more, sorted; of
+    `longest` nodes at most if it is given.
 
     A path starts at the cycle's least node and goes through larger ones only, so each cycle is found
-    from one place; edges that lie on no such path drop out at every join.
+    from one place; edges that lie on no such path drop out at every join. Without a bound, edges that
+    nothing leads to or from are taken off first, and paths grow until none is left: work follows the
+    number of simple paths among what cycles join.
     """
     steps = _directed(edges, False).filter("a <> b").select("a", "b").distinct()
+    if longest is None:
+        steps = _between_cycles(steps)
     paths = steps.filter("b > a").select(F.array("a", "b").alias("path"), F.col("a").alias("first"), F.col("b").alias("last"))
-    found = None
-    for n in range(2, longest + 1):
+    found, n = None, 2
+    while True:
         closed = paths.join(steps, (F.col("last") == F.col("a")) & (F.col("first") == F.col("b")), "left_semi")
         closed = closed.select(F.array_sort("path").alias("nodes"))
         found = closed if found is None else found.union(closed)
-        if n < longest:
-            grown = paths.join(steps, F.col("last") == F.col("a")).filter((F.col("b") > F.col("first")) & ~F.array_contains("path", F.col("b")))
-            paths = grown.select(F.concat("path", F.array("b")).alias("path"), "first", F.col("b").alias("last"))
+        if n == longest:
+            break
+        grown = paths.join(steps, F.col("last") == F.col("a")).filter((F.col("b") > F.col("first")) & ~F.array_contains("path", F.col("b")))
+        paths = grown.select(F.concat("path", F.array("b")).alias("path"), "first", F.col("b").alias("last"))
+        n += 1
+        if longest is None:
+            paths = stage(paths, "cycles")
+            if paths.isEmpty():
+                break
     return found.distinct()
 
 
-def circular_dependencies(dependencies: DataFrame, longest: int = 4) -> DataFrame:
-    """(source_a, source_b, category, severity, confidence, description) of import cycles."""
+def _between_cycles(steps: DataFrame) -> DataFrame:
+    """The edges (a, b) that lie on a cycle or on a path between cycles."""
+    steps = stage(steps, "steps")
+    n = steps.count()
+    while n:
+        inner = steps.join(steps.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        steps = stage(inner.join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "steps")
+        before, n = n, steps.count()
+        if n == before:
+            break
+    return steps
+
+
+def circular_dependencies(dependencies: DataFrame, longest: int | None = None) -> DataFrame:
+    """(source_a, source_b, category, severity, confidence, description) of import cycles, of any length if no
+    bound is given."""
     edges = dependencies.select(F.col("source_file").alias("from_node"), F.col("target").alias("to_node"), F.lit("IMPORTS").alias("type"))
     c = cycles(edges, longest)
     return c.select(

@@ -171,7 +171,7 @@ def _(spark, d):
 @query("e21_circular_dependencies", _CYCLES + "SELECT nodes[1] AS source_a, list_last(nodes) AS source_b, 'circular_dependency' AS category, 'high' AS severity, 0.9::DOUBLE AS confidence, array_to_string(nodes[1:5], ' -> ') AS description FROM c")
 def _(spark, d):
     deps = X.nation_edges(spark, d).select(F.col("from_node").alias("source_file"), F.col("to_node").alias("target"))
-    return traverse.circular_dependencies(deps)
+    return traverse.circular_dependencies(deps, 4)
 
 
 _SEL = "sel AS (SELECT id FROM nodes WHERE source = 'nation')"
