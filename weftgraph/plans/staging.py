@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FOLDERS: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only a local master may go without it (tests); it
@@ -23,10 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _folder(spark: SparkSession) -> str:
+    """The application's own folder; it is removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/weftgraph-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the JVM may have ended before; the folder then stays
+        return
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and the
-    table survives the loss of executors."""
+    table survives the loss of executors. The write's shuffle files are given up when it is done."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Removes staged tables that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_staged", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
