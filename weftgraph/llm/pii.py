@@ -2,15 +2,18 @@
 
 Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, card and account numbers, US
 social security numbers, IBANs, secrets assigned to a name such as token or password, and personal
-names (honorifics with up to three capitalised words, or known given names with a surname; after that the parts alone, in the same
-document).
+names (honorifics or phrases such as "my name is" with up to three capitalised words, or known given
+names with a surname; after that the parts alone, in the same document). Digits of any script count as
+digits, and a surrogate is written in the digits of its original.
 
 A surrogate keeps type, script, case, length and format: each character is replaced inside its class
-(digit, vowel or consonant of its script, hexadecimal digit), given names by names of the same
-script and gender, and check digits hold if they held. The replacement is a keyed permutation
+(digit, vowel or consonant of its script, hexadecimal digit; letters of other scripts by letters of
+the same script, case and neighbourhood), given names by names of the same script and gender, and check
+digits hold if they held. The replacement is a keyed permutation
 without fixed points of all values of one format, so no two entities share a surrogate, none keeps
 its value, and one entity has one surrogate in every document, on every machine, without a shared
-table. ``collisions`` checks this over a corpus.
+table. ``collisions`` checks this over a corpus, and ``with_collisions`` for each row. A value of which no
+character has a class, such as the local part `%%` before a reserved domain, becomes a keyed digest instead.
 
 Defined results. A null text stays null and an empty one empty; texts without entities stay as they
 are, to the byte. Where detections overlap, the one that begins first wins, then the longer one.
@@ -23,13 +26,15 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import small_batches
+from weftgraph.llm.common import broadcast_if_small, small_batches, stage
 
 KEY = "surrogates-1"
 _CACHED = 200_000
@@ -55,31 +60,43 @@ GIVEN = {
 }
 HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra господин госпожа Κύριος Κυρία".split()
 _BY_NAME = {name: (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
+#: Phrases after which two or three capitalised words are a name.
+INTRODUCTIONS = (
+    "my name is", "my name's", "I am called", "mein Name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es",
+    "меня зовут", "με λένε", "name:", "Name:", "nom:", "nombre:", "signed by", "signed,", "Signed:", "regards,", "sincerely,", "Sincerely,", "Grüßen,", "Cordialement,", "Atentamente,",
+)
 _CLUES = frozenset(_BY_NAME) | frozenset(HONORIFICS)
 _WORDS = re.compile(r"[^\W\d_]+")
-_CAPITAL = r"(?:[A-ZÀ-ÖØ-ÞŠŽČŁŚА-ЯЁΑ-ΩΆ-Ώ][^\W\d_]+(?:-[A-ZÀ-ÖØ-ÞŠŽČŁŚА-ЯЁΑ-ΩΆ-Ώ][^\W\d_]+)?)"
+_UPPER = "".join(c for c in map(chr, range(0x41, 0x2000)) if c.isupper())
+_CAPITAL = rf"(?:[{_UPPER}][^\W\d_]+(?:[-'’][{_UPPER}]?[^\W\d_]+)?)"
 _LISTED = "|".join(_BY_NAME)
+_INTRODUCED = re.compile(rf"(?:{'|'.join(map(re.escape, INTRODUCTIONS))})[ \t]*\n?[ \t]*(?P<name>{_CAPITAL}(?: {_CAPITAL}){{1,2}})(?![^\W_])")
+_INTRODUCTION_CLUE = re.compile(r"name|Name|nom|signed|Signed|egards,|incerely,|heiße|appelle|llamo|зовут|λένε|called|Grüßen,|Cordialement,|Atentamente,")
 _NAME = re.compile(
     rf"\b(?:(?:(?:{'|'.join(HONORIFICS)})\b\.? )+(?P<titled>{_CAPITAL}(?: {_CAPITAL}){{0,2}})|(?P<listed>(?:{_LISTED})(?: (?:{_LISTED}))*) (?P<family>{_CAPITAL}))\b"
 )
 
-_LOCAL = re.compile(r"[\w.%+\-]*[\w%+\-]$")
+_LOCAL = re.compile(r"[\w.%+\-]*[\w%+\-]\Z")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w\-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
 _NUMBER = re.compile(
-    r"(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
-    r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?:[.-]\d{2,4})?(?![\w-]|\.\d))"
-    r"|(?P<phone2>(?<![\w.+])(?:\+\d{8,14}|(?:\+\d{2} ?|0)\d(?:[ .-]\d{2}){4})(?!\w))"
+    r"(?P<ipv4>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9]))"
+    r"|(?P<card>(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?![\w]))"
+    r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?:[.-][0-9]{2,4})?(?![\w-]|\.[0-9]))"
+    r"|(?P<phone2>(?<![\w.+])(?:\+[0-9]{8,14}|(?:\+[0-9]{2} ?|0)[0-9](?:[ .-][0-9]{2}){4})(?!\w))"
 )
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?!\w)")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 #: Candidates, which ``ipaddress`` judges.
-_IPV6 = re.compile(r"(?<![\w:.])(?:(?:[\da-fA-F]{0,4}:){2,7}(?:\d{1,3}\.){3}\d{1,3}|(?:[\da-fA-F]{0,4}:){2,7}[\da-fA-F]{0,4})(?![\w:]|\.\d)")
+_IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9a-fA-F]{0,4}:){2,7}(?:[0-9]{1,3}\.){3}[0-9]{1,3}|(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4})(?![\w:]|\.[0-9])")
 _SECRET = re.compile(
     r"(?<![^\W_])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)\b[\"']?\s{0,3}[=:]\s{0,3}"
     r"(?:\"(?P<a>[^\s\"]{6,})\"|'(?P<b>[^\s']{6,})'|(?P<c>[A-Za-z\d_\-+/=.]{16,}))", re.IGNORECASE)
 _SECRET_CLUE = re.compile(r"token|secret|passw|pwd|key|auth", re.IGNORECASE)
-_DIGIT_CLUE = re.compile(r"\d[\d ().-]{5}|\d:")
+_DIGIT_CLUE = re.compile(r"[0-9][0-9 ().-]{5}|[0-9]:")
+_DIGITS_OF_SCRIPTS = {c: str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
+_OTHER_DIGIT = re.compile(r"(?![0-9])\d")
+#: Issuers' first digits with their numbers' lengths (fixed values): a bare run of digits that has them is a card.
+_ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720))\d{12}|3[47]\d{13}|6(?:011|4[4-9]\d|5\d\d)\d{12}|3(?:0[0-5]|[68]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}")
 
 
 class Permutation:
@@ -123,11 +140,19 @@ def _lower(c: str) -> str:
     return low if len(low := c.lower()) == 1 else c
 
 
+@lru_cache(maxsize=1 << 16)
 def _class_of(c: str) -> str:
-    for chars in (DIGITS, *VOWELS, *CONSONANTS):
+    """The characters that may replace one: a listed class, or those of its script and category near it."""
+    listed = (DIGITS, *VOWELS, *CONSONANTS)
+    for chars in listed:
         if c in chars:
             return chars
-    return ""
+    if not c.isalpha() and not c.isdecimal():
+        return ""
+    known, kind, script = set("".join(listed)), unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]
+    near = map(chr, range(ord(c) & ~0x7F, (ord(c) & ~0x7F) + 0x80))
+    own = [x for x in near if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and _lower(x) == x and x not in known]
+    return "".join(own) if len(own) > 1 and c in own else ""
 
 
 class Surrogates:
@@ -142,7 +167,11 @@ class Surrogates:
         if found is None:
             if len(self.known) >= _CACHED:
                 self.known.clear()
-            found = self.known[kind, text] = getattr(self, kind)(text)
+            found = getattr(self, kind)(text)
+            if found == text:  # nothing in it has a class
+                digest = hashlib.blake2b(f"{kind}/{text}".encode("utf-8", "surrogatepass"), key=self.key[:64], digest_size=8).hexdigest()
+                found = f"{digest}@{text.rpartition('@')[2]}" if kind == "email" else digest
+            self.known[kind, text] = found
         return found
 
     def entity_id(self, kind: str, text: str) -> str:
@@ -341,33 +370,76 @@ def _is_ipv6(text: str) -> bool:
         return False
 
 
+def _local_start(text: str, at: int, least: int) -> int | None:
+    """Where the local part that ends before `at` begins, not before `least`."""
+    span = 64
+    while True:
+        begin = max(least, at - span)
+        found = _LOCAL.search(text[begin:at])
+        if not found:
+            return None
+        if found.start() or begin == least:
+            start = begin + found.start()
+            while text[start] == "." and start < at - 1:
+                start += 1
+            return start
+        span *= 8
+
+
+def _is_card(text: str) -> bool:
+    """Digits in groups, the usual 16 digits, a right check digit, or an issuer's digits and length."""
+    own = _compact(text)
+    return own != text or len(own) == 16 or int(own[-1]) == _luhn(own[:-1]) or bool(_ISSUED.fullmatch(own))
+
+
+def plain_digits(text: str) -> str:
+    """The text with the digits of all scripts as ASCII digits, place by place."""
+    return text.translate(_DIGITS_OF_SCRIPTS) if _OTHER_DIGIT.search(text) else text
+
+
+def _in_digits_of(text: str, new: str) -> str:
+    """The ASCII digits of `new` in the script of the text's digits."""
+    other = _OTHER_DIGIT.search(text)
+    if not other:
+        return new
+    zero = ord(other[0]) - unicodedata.decimal(other[0])
+    return new.translate({48 + d: chr(zero + d) for d in range(10)})
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order and without overlap."""
     found: list[tuple[int, int, str]] = []
-    at = text.find("@")
+    at, least = text.find("@"), 0
     while at >= 0:
-        local, domain = _LOCAL.search(text[max(0, at - 64) : at]), _DOMAIN.match(text, at + 1)
-        if local and domain:
-            start = at - len(local[0])
-            while text[start] == "." and start < at - 1:
-                start += 1
+        domain = _DOMAIN.match(text, at + 1)
+        start = _local_start(text, at, least) if domain else None
+        if start is not None:
             found.append((start, domain.end(), "email"))
+        least = at + 1
         at = text.find("@", at + 1)
+    text = plain_digits(text)
     if _DIGIT_CLUE.search(text):
-        found += [(m.start(), m.end(), m.lastgroup.rstrip("2") if m.lastgroup == "phone2" else m.lastgroup) for m in _NUMBER.finditer(text)]
+        for m in _NUMBER.finditer(text):
+            kind = "phone" if m.lastgroup == "phone2" else m.lastgroup
+            if kind != "card" or _is_card(m[0]):
+                found.append((m.start(), m.end(), kind))
         found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
     if text.count(":") > 1:
         found += [(m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
     if ("=" in text or ":" in text) and _SECRET_CLUE.search(text):
         found += [(*m.span(m.lastgroup), "secret") for m in _SECRET.finditer(text)]
+    names = []
     if not _CLUES.isdisjoint(_WORDS.findall(text)):
-        parts: dict[str, str] = {}
-        for m in _NAME.finditer(text):
-            *given, family = (m["titled"] or f"{m['listed']} {m['family']}").split(" ")
-            parts |= dict.fromkeys(given, "given") | {family: "family"}
-        if parts:
-            alone = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})\b")
-            found += [(m.start(), m.end(), "given" if m[0] in _BY_NAME else parts[m[0]]) for m in alone.finditer(text)]
+        names = [m["titled"] or f"{m['listed']} {m['family']}" for m in _NAME.finditer(text)]
+    if _INTRODUCTION_CLUE.search(text):
+        names += [m["name"] for m in _INTRODUCED.finditer(text)]
+    parts: dict[str, str] = {}
+    for name in names:
+        *given, family = name.split(" ")
+        parts |= dict.fromkeys(given, "given") | {family: "family"}
+    if parts:
+        alone = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})\b")
+        found += [(m.start(), m.end(), "given" if m[0] in _BY_NAME else parts[m[0]]) for m in alone.finditer(text)]
     kept: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not kept or x[0] >= kept[-1][1]:
@@ -379,8 +451,9 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[tuple]]:
     """The text with surrogates, and (kind, start, end, surrogate, entity id) of each, start and end in the old text."""
     entities, out, at = [], [], 0
     for start, end, kind in detect(text):
-        own = text[start:end]
-        new = surrogates(kind, own)
+        written = text[start:end]
+        own = plain_digits(written)
+        new = _in_digits_of(written, surrogates(kind, own))
         entities.append((kind, start, end, new, surrogates.entity_id(kind, own)))
         out += [text[at:start], new]
         at = end
@@ -394,6 +467,7 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     """row (a struct of all columns), text (with surrogates) and entities of every row."""
 
     small_batches(docs.sparkSession)
+
     @F.pandas_udf(f"text string, entities {_ENTITIES}")
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         surrogates = Surrogates(key)
@@ -406,12 +480,30 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     return rows.select("row", "found.text", "found.entities")
 
 
+def _one_writing(kind: str, surrogate: str) -> Column:
+    """Surrogates are compared without separators where those are free."""
+    low = F.lower(surrogate)
+    return F.when(F.col(kind).isin(*_SEPARATED), F.regexp_replace(low, _SEPARATORS.pattern, "")).otherwise(low)
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
     """(kind, surrogate, n) of surrogates that stand for several entities: none, unless detection or
-    keys were mixed. Surrogates are compared without separators where those are free, entities by their
-    keyed digests; both are combined before the shuffle."""
-    surrogate = F.lower("e.surrogate")
-    surrogate = F.when(F.col("e.kind").isin(*_SEPARATED), F.regexp_replace(surrogate, _SEPARATORS.pattern, "")).otherwise(surrogate)
-    each = replaced.select(F.explode("entities").alias("e")).select("e.kind", surrogate.alias("surrogate"), "e.entity_id")
+    keys were mixed. Entities are compared by their keyed digests; both are combined before the shuffle."""
+    each = replaced.select(F.explode("entities").alias("e")).select("e.kind", _one_writing("e.kind", "e.surrogate").alias("surrogate"), "e.entity_id")
     found = each.groupBy("kind", "surrogate").agg(F.min("entity_id").alias("least"), F.max("entity_id").alias("most"), F.count(F.lit(1)).alias("n"))
     return found.filter("least <> most").select("kind", "surrogate", "n")
+
+
+def with_collisions(replaced: DataFrame) -> DataFrame:
+    """Adds `collisions`: how many of a row's entities have a surrogate that stands for another entity too.
+
+    The corpus is read once more for the check. Where it finds nothing, as the permutations promise, no
+    row has to be joined."""
+    found = stage(collisions(replaced), "collisions")
+    n = found.count()
+    if not n:
+        return replaced.withColumn("collisions", F.lit(0).cast("long"))
+    rows = stage(replaced.withColumn("_rid", F.monotonically_increasing_id()), "replaced")
+    each = rows.select("_rid", F.explode("entities").alias("e")).select("_rid", "e.kind", _one_writing("e.kind", "e.surrogate").alias("surrogate"))
+    hits = each.join(broadcast_if_small(found.select("kind", "surrogate"), n), ["kind", "surrogate"], "left_semi").groupBy("_rid").agg(F.count(F.lit(1)).alias("collisions"))
+    return rows.join(hits, "_rid", "left").select(*replaced.columns, F.coalesce("collisions", F.lit(0).cast("long")).alias("collisions"))

@@ -13,9 +13,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.with_collisions(pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     kinds = F.transform("entities", lambda e: e["kind"])
-    return found.select("row.doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"))
+    return found.select("row.doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"), "collisions")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
