@@ -7,7 +7,8 @@ partition is packed by itself, in blocks of bounded size, so nothing is shuffled
 most one block, and a task that runs again gives the same windows.
 
 Defined results. A null text is an empty one, and an empty one is the end id alone. Repeated rows
-are packed like others. The string of an added token, such as <|endoftext|>, is that token's id. Very long texts are tokenized whole. An empty table gives an empty result.
+are packed like others. The string of an added token, such as <|endoftext|>, is that token's id. Very
+long texts are tokenized whole, runs of a million blanks included. An empty table gives an empty result.
 Other columns are not looked at.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +48,23 @@ class Encoder:
 
     In a byte-level BPE file whose ids follow the order of its merges, an id is the rank of its
     merge. Such a file's vocabulary runs in tiktoken, which gives the same ids in about a third of
-    the time; any other file runs in tokenizers. The string of an added token in a text is that token
+    the time; any other file runs in tokenizers, and so does a text whose word pattern tiktoken can't match
+    (it gives up on runs of about a million blanks). The string of an added token in a text is that token
     if `added`, as tokenizers has it by itself, else ordinary text.
     """
 
     def __init__(self, path: str, added: bool = False) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self.added = path, added
         self.ranked = self._ranked(spec)
         self.allowed = "all" if added else set()
-        self.tokenizer = None if self.ranked else Tokenizer.from_file(path)
-        if self.tokenizer:
-            self.tokenizer.encode_special_tokens = not added
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = not self.added
+        return found
 
     @staticmethod
     def _ranked(spec: dict) -> tiktoken.Encoding | None:
@@ -81,8 +88,16 @@ class Encoder:
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if self.ranked:
             for text in texts:
-                yield self.ranked.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
-            return
+                try:
+                    ids = self.ranked.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+                except ValueError:  # the pattern's backtracking is bounded
+                    yield from self._plain([text])
+                else:
+                    yield ids.astype("<u4", copy=False).tobytes()
+        else:
+            yield from self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(x.ids, dtype="<u4").tobytes()
 
