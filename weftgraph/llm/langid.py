@@ -6,7 +6,8 @@ all languages containing an n-gram. A text's n-grams are counted for each langua
 corrected for each filter's false positives, decide.
 
 Defined results. `und` with score 0 if the text is null, empty or has no letter, or if nothing was
-learned. Equal counts go to the language first by code point; a text of which no n-gram is known goes
+learned. The sample of labelled rows from which is learned is bounded by SAMPLE, LANGUAGES and SHARE,
+parameters of ``learn``; predictions look at all of a text. Equal counts go to the language first by code point; a text of which no n-gram is known goes
 to the language with the most training text, with score 0. Whole texts are read, in pieces of
 bounded size. Rows without a language or an id are predicted but not learned from. Repeated rows
 are alike. An empty table gives an empty result. Other columns, whatever their names, are carried
@@ -23,11 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import small_batches, stage
+from weftgraph.llm.common import broadcast_if_small, release, small_batches, stage
 
 GRAM = 4
 SAMPLE = 4_000  # documents of a language that are learned from, about; the bound of the training sample
-SHARE = 2e-5  # an n-gram is in a filter if it makes up at least this part of the language's: 50,000 n-grams at most
+SHARE = 2e-5  # an n-gram is learned if it makes up at least this part of its language's sample: 50,000 n-grams at most
+LANGUAGES = 256  # languages that are learned at most, those with the most labelled documents
 HASHES = 3
 FOLDS = 5
 _PIECE = 1 << 20  # characters of a text that are looked up at a time
@@ -70,6 +72,15 @@ def grams(text: str | None, n: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def pieces(text: str | None) -> Iterator[np.ndarray]:
+    """The n-grams of a text, a piece at a time. Pieces overlap, so none is lost where they meet; only the
+    borders of words may be counted once more there."""
+    for at in range(0, len(text or ""), _PIECE):
+        own = grams(text[max(0, at - GRAM + 1) : at + _PIECE])
+        if len(own):
+            yield own
+
+
 @dataclass
 class Filters:
     """Bit-sliced Bloom filters: masks[position, slice] has a bit for each language."""
@@ -97,13 +108,11 @@ class Filters:
         step = (hashes >> np.uint64(32)) | np.uint64(1)
         return [((hashes + np.uint64(j) * step) & np.uint64(size - 1)).astype(np.int64) for j in range(HASHES)]
 
-    def shares(self, text: str | None) -> np.ndarray | None:
-        """For each language the part of the text's n-grams that it contains, corrected; None without a letter."""
+    def shares(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """For each language the part of the text's n-grams that it contains, corrected, and how many there
+        are; None without a letter."""
         total, hits = 0, np.zeros(len(self.languages), np.int64)
-        for at in range(0, len(text or ""), _PIECE):
-            own = grams(text[at : at + _PIECE])
-            if not len(own):
-                continue
+        for own in pieces(text):
             first, *rest = self.positions(own, len(self.masks))
             found = self.masks[first]
             for where in rest:
@@ -112,29 +121,32 @@ class Filters:
             for k in range(len(hits)):
                 hits[k] += np.count_nonzero(found[:, k // 64] & np.uint64(1 << (k % 64)))
         if not total:
-            return None
-        return np.clip((hits / total - self.false_positives) / (1 - self.false_positives), 0, 1)
+            return None, 0
+        return np.clip((hits / total - self.false_positives) / (1 - self.false_positives), 0, 1), total
 
-    def decide(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score (its part of the two best shares) and share."""
-        shares = self.shares(text)
+    def decide(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score (its part of the two best shares), share, and the number of the text's n-grams."""
+        shares, total = self.shares(text)
         if shares is None or not len(shares):
-            return "und", 0.0, 0.0
+            return "und", 0.0, 0.0, total
         best = int(np.argmax(shares))
         if not shares[best]:
-            return self.usual, 0.0, 0.0
+            return self.usual, 0.0, 0.0, total
         second = np.delete(shares, best).max(initial=0.0)
         share = float(shares[best])
-        return self.languages[best], share / (share + float(second)), share
+        return self.languages[best], share / (share + float(second)), share, total
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters from the labelled rows: about `sample` documents of each language, chosen by a hash of
-    the id; n-grams are counted on the executors and combined before the shuffle."""
+def learn(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, share: float = SHARE, most: int = LANGUAGES
+) -> Filters:
+    """Filters from the labelled rows: about `sample` documents of each of the `most` usual languages, chosen
+    by a hash of the id; n-grams are counted on the executors and combined before the shuffle. Those that
+    make up less than `share` of their language's are left out."""
     labelled = labelled.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     ).filter("lang IS NOT NULL AND id IS NOT NULL")
-    counts = labelled.groupBy("lang").count()
+    counts = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most)
     part = counts.select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("part"))
     chance = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.join(F.broadcast(part), "lang").filter(chance < F.col("part")).select("lang", "text")
@@ -143,9 +155,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         held: dict[str, tuple[list[np.ndarray], int]] = {}
         for f in frames:
             for language, text in zip(f["lang"], f["text"], strict=True):
-                for at in range(0, len(text or ""), _PIECE):
+                for new in pieces(text):
                     own, n = held.get(language, ([], 0))
-                    new = grams(text[at : at + _PIECE])
                     own.append(new)
                     held[language] = (own, n + len(new))
                     if n + len(new) > 4 * _PIECE:
@@ -161,24 +172,32 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     found = stage(found, "grams")
     totals = found.groupBy("lang").agg(F.sum("n").alias("total"))
     usual = totals.orderBy(F.col("total").desc(), "lang").first()
-    common = found.join(F.broadcast(totals), "lang").filter(F.col("n") >= SHARE * F.col("total")).select("lang", "gram")
-    common = common.toPandas()  # at most 1 / SHARE rows of each language
+    common = found.join(broadcast_if_small(totals, most), "lang").filter(F.col("n") >= share * F.col("total")).select("lang", "gram")
+    common = common.toPandas()  # at most 1 / share rows of each language
+    release(found)
     return Filters.of({k: g["gram"].to_numpy(np.int64).view(np.uint64) for k, g in common.groupby("lang")}, usual.lang if usual else "und")
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """row (a struct of all columns), lang_pred, score and share of every row."""
+    """row (a struct of all columns), lang_pred, score, share and grams (how many n-grams the text has) of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double, share double")
+    @F.pandas_udf("lang_pred string, score double, share double, grams long")
     def decide(texts: pd.Series) -> pd.DataFrame:
         found = [shared.value.decide(t) for t in texts]
-        return pd.DataFrame(found, columns=["lang_pred", "score", "share"])
+        return pd.DataFrame(found, columns=["lang_pred", "score", "share", "grams"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("found", decide(F.col(f"row.`{text_col}`").cast("string")))
-    return rows.select("row", "found.lang_pred", "found.score", "found.share")
+    return rows.select("row", "found.lang_pred", "found.score", "found.share", "found.grams")
+
+
+def most_share(share: Column, n: Column, z: float = 2.0) -> Column:
+    """The upper end of the score interval (Wilson) of a share among n: wide for short texts, close to the
+    share for long ones."""
+    half = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return F.when(n > 0, (share + z * z / (2 * n) + half) / (1 + z * z / n)).otherwise(1.0)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
