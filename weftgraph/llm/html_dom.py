@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,7 +30,11 @@ _SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))", re.DOTALL)
+_COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.DOTALL)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_OTHER = re.compile(r"<[!?/][^>]*(?:>|\Z)")
+_LONGEST = 1 << 17  # characters of a tag whose quotes are looked at; a longer one ends at its first >
+_PATIENCE = 1 << 24  # characters that may be looked at in vain for tags with quotes; then tags end at their first >
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)(?:>|\Z)")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -62,13 +69,32 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def parse(page: str) -> list[Block]:
-    """The page's blocks, parents before children, the root first. Never fails."""
+_CELLS = ("table", "td", "th")
+_OUT_OF_CELLS = frozenset("table tr tbody thead tfoot body html td th".split())
+
+
+def parse(page: str, apart: Callable[[str], bool] = lambda _: False) -> list[Block]:
+    """The page's blocks, parents before children, the root first. Never fails. Inline elements whose
+    attributes set them `apart` are blocks of their own.
+
+    Time is about linear in the page's length: the places of open elements are kept by name, so that an
+    end tag without a start costs nothing, and what is walked over is closed."""
     blocks = [Block("#root", -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their block
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name in the stack
+    not_inline: list[int] = [0]
     pending: list[str] = []
     ends: dict[str, dict[int, int]] = {}  # of skipped elements
-    links = order = at = 0
+    links = order = at = vain = 0
+
+    def open_(name: str, block: int, inline: bool) -> None:
+        places[name].append(len(stack))
+        if not inline:
+            not_inline.append(len(stack))
+        stack.append((name, block))
+
+    def last(*names: str) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def flush() -> None:
         nonlocal order
@@ -82,11 +108,24 @@ def parse(page: str) -> list[Block]:
 
     def close(upto: int) -> None:
         nonlocal links
-        if any(name not in INLINE for name, _ in stack[upto:]):
+        if not_inline[-1] >= upto:
             flush()
-        links -= sum(name == "a" for name, _ in stack[upto:])
+        while not_inline[-1] >= upto:
+            not_inline.pop()
+        for name, _ in stack[upto:]:
+            links -= name == "a"
+            places[name].pop()
         del stack[upto:]
 
+    def ended_by(name: str) -> int | None:
+        """The place of the element that an end tag closes. An inline end tag closes nothing outside its
+        block, and no cell is closed from inside."""
+        at = last(name)
+        if not at:
+            return None
+        inside = not_inline[-1] <= at if name in INLINE else name in _OUT_OF_CELLS or last(*_CELLS) <= at
+        return at if inside else None
+
     while at < len(page):
         lt = page.find("<", at)
         text = page[at:] if lt < 0 else page[at:lt]
@@ -96,7 +135,14 @@ def parse(page: str) -> list[Block]:
                 blocks[stack[-1][1]].link_chars += len(text.strip())
         if lt < 0:
             break
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        if page.startswith("<!--", lt):
+            at = _COMMENT.match(page, lt).end()
+            continue
+        m = _TAG.match(page, lt, lt + _LONGEST) if vain < _PATIENCE else None
+        if not m:
+            m = _LOOSE.match(page, lt)
+            vain += min(len(page) - lt, _LONGEST) if m else 0
+        m = m or _OTHER.match(page, lt)
         if not m:
             pending.append("<")
             at = lt + 1
@@ -104,19 +150,14 @@ def parse(page: str) -> list[Block]:
         at = m.end()
         if m.re is _LOOSE and not m[0].endswith(">"):
             break  # the page ends inside a tag
-        if not m[2]:
+        if m.re is _OTHER:
             continue
         name, end = m[2].lower(), bool(m[1])
         if end:
             if name == "br":
                 pending.append(" ")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE or stack[k][0] in ("table", "td", "th") and name != "table" and name not in ("tr", "tbody", "thead", "tfoot", "body", "html", "td", "th"):
-                    break  # an inline end tag closes nothing outside its block, no cell is closed from inside
+            elif (k := ended_by(name)) is not None:
+                close(k)
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
@@ -132,7 +173,7 @@ def parse(page: str) -> list[Block]:
             flush()
             blocks[stack[-1][1]].children += 1
             blocks.append(Block(name, stack[-1][1], m[3]))
-            stack.append((name, len(blocks) - 1))
+            open_(name, len(blocks) - 1, False)
             pending.append(html.escape(page[at : stop.start() if stop else len(page)]))
             close(len(stack) - 1)
             at = stop.end() if stop else len(page)
@@ -147,29 +188,21 @@ def parse(page: str) -> list[Block]:
             continue
         if name in _SIBLINGS:
             ended, inside = _SIBLINGS[name]
-            lowest = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in inside:
-                    break
-                if stack[k][0] in ended:
-                    lowest = k
+            bound = last(*inside)
+            lowest = min((places[x][k] for x in ended if (k := bisect_right(places[x], bound)) < len(places[x])), default=None)
             if lowest is not None:
                 close(lowest)
-        elif name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name in INLINE:
-            links += name == "a"
-            stack.append((name, stack[-1][1]))
+        elif name in _ENDS_P and (k := last("p")) and k == not_inline[-1]:
+            close(k)
+        inline = name in INLINE
+        links += name == "a"
+        if inline and not (m[3] and apart(m[3])):
+            open_(name, stack[-1][1], True)
         else:
             flush()
             parent = stack[-1][1]
             blocks[parent].children += 1
             blocks.append(Block(name, parent, m[3]))
-            stack.append((name, len(blocks) - 1))
+            open_(name, len(blocks) - 1, False)
     flush()
     return blocks

@@ -7,13 +7,14 @@ The words are invented, so that the model learns structure and not vocabulary.
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 _SYLLABLES = "ka lo mi ren ta su vel or an pi dor es ti gan hu ser wo la be ni".split()
 
 
 class _Page:
-    def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, layouts: Sequence[int] | None = None) -> None:
+        self.r, self.layouts = random.Random(seed), layouts
 
     def word(self) -> str:
         return "".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4)))
@@ -36,6 +37,8 @@ class _Page:
             text = f'{text} <a href="/{self.word()}">{self.word()} {self.word()}</a> {self.sentence()}'
         if self.r.random() < 0.25:
             text = f"<b>{self.word()}</b> {text}"
+        if self.r.random() < 0.06:
+            text += f' <span class="{self.some("share", "ad", "promo", "related", "tags", "social", "sponsored")}" data-y="0">{self.some(self.sentence(1, 6), self.link())}</span>'
         return text
 
     def link(self) -> str:
@@ -84,7 +87,7 @@ class _Page:
         inner = title + "".join(body)
         if not inner:
             inner = f"<p>{self.prose()}</p>"
-        return self.some(
+        layouts = (
             f'<article data-y="1">{inner}</article>',
             f'<article data-y="1">{inner}</article>',
             f'<article class="post" data-y="1">{inner}</article>',
@@ -96,6 +99,7 @@ class _Page:
             f'<section data-y="1">{inner}</section>' if len(body) > 2 else f'<article data-y="1">{inner}</article>',
             f'<div data-y="1">{inner}</div>' if len(body) > 2 else f'<article data-y="1">{inner}</article>',
         )
+        return self.some(*(layouts if self.layouts is None else [layouts[k] for k in self.layouts]))
 
     def inner_noise(self) -> str:
         return self.some(
@@ -153,5 +157,6 @@ class _Page:
         return f"<!DOCTYPE html><html><head><title>{self.sentence(2, 6)}</title></head><body>{body}</body></html>"
 
 
-def labelled_pages(n: int = 700, seed: int = 1) -> list[str]:
-    return [_Page(seed * 100_000 + k).page() for k in range(n)]
+def labelled_pages(n: int = 700, seed: int = 1, layouts: Sequence[int] | None = None) -> list[str]:
+    """n pages; `layouts` restricts them to some of the ten wrappers of content, to hold others out."""
+    return [_Page(seed * 100_000 + k, layouts).page() for k in range(n)]
