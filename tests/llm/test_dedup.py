@@ -4,7 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import embedding_dedup, simhash_dedup
-from weftgraph.llm.common import connected_components
+from weftgraph.llm.common import _rounds, connected_components, join_hot
 from weftgraph.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +39,19 @@ def test_components(spark):
     assert {r.node: r.root for r in found} == {x: expected[x] for p in pairs if p[0] != p[1] for x in p}
     assert len(found) == len({r.node for r in found})
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    in_rounds = _rounds(spark.createDataFrame([(max(p), min(p)) for p in pairs if p[0] != p[1]], "u long, v long").distinct(), -1).collect()
+    assert sorted((r.node, r.root) for r in in_rounds) == sorted((r.node, r.root) for r in found)
+
+
+def test_join_with_hot_keys(spark):
+    keys = [k % 7 if k % 3 else 1 for k in range(30_000)] + list(range(100, 400)) + [None]
+    rows = spark.createDataFrame(list(enumerate(keys)), "row long, key long")
+    of = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("least"))
+    found = {r.row: r.least for r in join_hot(rows, of, ["key"], "times", len(keys)).collect()}
+    least = {}
+    for row, key in enumerate(keys):
+        least.setdefault(key, row)
+    assert found == {row: least[key] for row, key in enumerate(keys) if key is not None}
 
 
 def test_fingerprints_and_components_against_brute_force(spark):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import broadcast_if_small, connected_components, small_batches, stage
+from weftgraph.llm.common import connected_components, join_hot, small_batches, stage
 
 WORDS = 3  # words of a shingle
 RADIUS = 2  # bits in which linked fingerprints may differ
@@ -59,7 +59,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     small_batches(docs.sparkSession)
-    docs = docs.select(id_col, F.col(text_col).cast("string"))
+    docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string"))
     return docs.mapInArrow(each, f"`{id_col}` {docs.schema[0].dataType.simpleString()}, fp long")
 
 
@@ -193,20 +193,20 @@ def near_duplicates(
     """(id_col, fp long, component, root) of every row; component is the smallest id that links reach,
     and root the fingerprint that stands for the component, whatever its ids are."""
     rows = stage(with_fingerprints(docs, id_col, text_col, words), "fp")
-    fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "fps")
+    fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("times")), "fps")
     edges = links(fps, fps.count(), radius)
     return with_components(rows, fps, edges, id_col)
 
 
 def with_components(rows: DataFrame, fps: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, fp, component, root) of rows (id_col, fp), given the smallest id of each fingerprint in
-    fps (fp, least) and the edges (a, b) between fingerprints."""
+    """(id_col, fp, component, root) of rows (id_col, fp), given the smallest id and the number of rows of
+    each fingerprint in fps (fp, least, times) and the edges (a, b) between fingerprints."""
     members = stage(connected_components(edges), "members")
-    least = members.join(fps, members.node == fps.fp).groupBy("root").agg(F.min("least").alias("component"))
-    joined = members.join(broadcast_if_small(least, members.count()), "root").select(F.col("node").alias("fp"), "component", "root")
+    per_root = members.join(fps, members.node == fps.fp).groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("size"))
+    joined = join_hot(members, per_root, ["root"], "size", members.count()).select(F.col("node").alias("fp"), "component", "root")
     component = F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component"))
-    of = fps.join(joined, "fp", "left").select("fp", component.alias("component"), F.coalesce("root", "fp").alias("root"))
-    return rows.join(of, "fp").select(id_col, "fp", "component", "root")
+    of = stage(fps.join(joined, "fp", "left").select("fp", component.alias("component"), F.coalesce("root", "fp").alias("root"), "times"), "of")
+    return join_hot(rows, of, ["fp"], "times", rows.count()).select(id_col, "fp", "component", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
