@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of task types and domains in the order in which ties are decided, stopwords
@@ -42,6 +42,7 @@ STRATEGIES = (
     ("ARCHITECTURE_REVIEW", 2, 2, True, True, True, 50),
     ("ANALYSIS", 2, 2, True, True, True, 35),
 )
+STRATEGY = "task_type string, upstream int, downstream int, configs boolean, concepts boolean, conflicts boolean, max_nodes int"
 KEYWORD = r"[A-Za-z_][A-Za-z0-9_/.\\-]+"
 
 
@@ -82,3 +83,9 @@ def confidence(kind: Column, words: Column, field: Column) -> Column:
     sure = F.lit(0.4) + F.when(kind != "ANALYSIS", 0.25).otherwise(0.0)
     sure = sure + F.least(F.lit(0.2), F.size(words) * F.lit(0.04)) + F.when(field != "", 0.15).otherwise(0.0)
     return F.round(F.least(sure, F.lit(1.0)), 2)
+
+
+def with_strategy(questions: DataFrame, kind: str = "kind") -> DataFrame:
+    """Adds the strategy of each question's type; the table has a row for each type."""
+    table = questions.sparkSession.createDataFrame(list(STRATEGIES), STRATEGY).withColumnRenamed("task_type", kind)
+    return questions.join(F.broadcast(table), kind)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
-from weftgraph.plans.staging import stage
+from weftgraph.plans.staging import as_few, counted, stage
 
 # Weights of node types by task type (1 where absent), names and endings of prose and settings.
 TYPE_WEIGHTS = (
@@ -30,6 +30,10 @@ PROSE = r"(?i)(\.(md|markdown|rst|txt|adoc)$)|(^(pyproject\.toml|setup\.cfg|setu
 TEST = r"^test_|_test(\.py)?$"
 
 
+VOCABULARY = 2_000_000  # different words with their stems that are broadcast at most
+NODE_TERMS = 20_000  # terms of questions against which nodes are tested in place at most
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1)
 
@@ -43,12 +47,20 @@ def is_prose(path: Column) -> Column:
 
 
 def file_terms(files: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """(id, term): different stems of each file's name and text. files: id, path, text. Words are made
-    different within a file before they are taken apart, and stems before the shuffle."""
+    """(id, term): different stems of each file's name and text. files: id, path, text.
+
+    Words are made different within a file; the corpus's different words are then taken apart and
+    stemmed once each, as a table that is joined back. That table is broadcast if it is small by count;
+    beyond it, the join shuffles, and its frequent words are split by the skew handling of AQE.
+    """
     body = F.substring("text", 1, max_chars) if max_chars else F.col("text")
-    stems = F.transform(F.flatten(F.transform(T.words(body), T.pieces)), T.stem)
+    words = stage(files.select("id", T.words(body).alias("words")), "words")
+    different = words.select(F.explode("words").alias("word")).distinct()
+    stems = different.select("word", F.explode(T.pieces(F.col("word"))).alias("piece")).select("word", T.stem(F.col("piece")).alias("term")).distinct()
+    stems = counted(stems, "vocabulary", VOCABULARY)
+    found = words.select("id", F.explode("words").alias("word")).join(stems, "word").select("id", "term")
     names = F.transform(T.name_parts(F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")), T.stem)
-    return files.select("id", F.explode(F.array_union(stems, names)).alias("term"))
+    return found.union(files.select("id", F.explode(names).alias("term"))).distinct()
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -73,25 +85,38 @@ def text_match(terms: DataFrame, questions: DataFrame, files: DataFrame) -> Data
     written once; frequencies and matches are taken from them.
     """
     total = files.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("files"))
-    wanted = wanted_terms(questions)
-    hits = stage(terms.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi"), "postings")  # questions are few and short
+    wanted = counted(wanted_terms(questions), "wanted")
+    hits = stage(terms.join(as_few(wanted.select("term").distinct(), wanted), "term", "left_semi"), "postings")
     weights = wanted.join(document_frequency(hits), "term", "left").crossJoin(F.broadcast(total))
     weights = weights.select("qid", "term", idf(F.col("df"), F.col("files")).alias("w"))
     most = weights.groupBy("qid").agg(F.sum("w").alias("most"))
-    found = hits.join(F.broadcast(weights), "term").groupBy("qid", "id").agg(F.sum("w").alias("w"))
-    return found.join(F.broadcast(most), "qid").select("qid", "id", F.least(F.lit(1.0), F.col("w") / F.col("most")).alias("match"))
+    found = hits.join(as_few(weights, wanted), "term").groupBy("qid", "id").agg(F.sum("w").alias("w"))
+    return found.join(as_few(most, wanted), "qid").select("qid", "id", F.least(F.lit(1.0), F.col("w") / F.col("most")).alias("match"))
 
 
 def name_answers(nodes: DataFrame, frequency: DataFrame, questions: DataFrame, files: int | Column) -> DataFrame:
     """(qid, id) of nodes whose own name answers: it holds the one word asked for, all of them, two of
     them, or one that at most a quarter of the files use."""
-    wanted = wanted_terms(questions)
-    asked = wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("asked"))
+    wanted = counted(wanted_terms(questions), "wanted")
+    asked = as_few(wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("asked")), wanted)
     names = nodes.select("id", F.explode(F.array_distinct(F.transform(T.name_parts(F.regexp_replace("name", r"\.py", "")), T.stem))).alias("term"))
-    met = names.join(F.broadcast(wanted), "term").join(frequency, "term", "left").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("df", F.lit(0))).alias("rarest"))
+    met = names.join(wanted, "term").join(frequency, "term", "left").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("df", F.lit(0))).alias("rarest"))
     total = files if isinstance(files, Column) else F.lit(files)
     answers = (F.col("asked") == 1) | (F.col("n") >= 2) | (F.col("n") == F.col("asked")) | (F.col("rarest") * 4 <= total)
-    return met.join(F.broadcast(asked), "qid").filter(answers).select("qid", "id")
+    return met.join(asked, "qid").filter(answers).select("qid", "id")
+
+
+def node_match(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, id, match) of nodes (id, name, metadata) without terms of their own: the part of a question's
+    terms, weighted by their length, that stand in the node's name or in values of its metadata. Nodes are
+    tested against the different terms of all questions, and hits are joined with the questions by term."""
+    wanted = counted(wanted_terms(questions).withColumn("w", 1 + F.least(F.length("term"), F.lit(12)) / 12.0), "wanted", NODE_TERMS)
+    most = as_few(wanted.groupBy("qid").agg(F.sum("w").alias("most")), wanted)
+    values = F.regexp_replace(F.coalesce("metadata", F.lit("")), r'"[^"]*"\s*:', "")
+    text = nodes.select("id", F.lower(F.concat_ws(" ", "name", values)).alias("_text"))
+    hits = text.join(as_few(wanted.select("term").distinct(), wanted), F.col("_text").contains(F.col("term"))).select("id", "term")
+    found = hits.join(wanted, "term").groupBy("qid", "id").agg(F.sum("w").alias("w"))
+    return found.join(most, "qid").select("qid", "id", (F.col("w") / F.col("most")).alias("match"))
 
 
 def exact_symbols(nodes: DataFrame, questions: DataFrame) -> DataFrame:
@@ -213,11 +238,55 @@ def hidden_risks(nodes: DataFrame, risk: Column) -> DataFrame:
 
 
 def required_files(files: DataFrame, kept: DataFrame) -> DataFrame:
-    """Files (file) that are a kept node's path or a part of it; the kept nodes are a pack, and so few."""
-    few = F.broadcast(kept.select(F.col("path").alias("_path")).distinct())
-    return files.join(few, F.col("_path").contains(F.col("file")), "left_semi")
+    """Files (file) that are a kept node's path or a part of it; a pack bounds the kept nodes, which are counted."""
+    paths = counted(kept.select(F.col("path").alias("_path")).distinct(), "kept")
+    return files.join(paths, F.col("_path").contains(F.col("file")), "left_semi")
 
 
 def pack_edges(edges: DataFrame) -> DataFrame:
     """A pack's edges: all depend on each other for a reader; the true type is kept beside."""
     return edges.withColumn("true_type", F.col("type")).withColumn("type", F.lit("DEPENDS_ON"))
+
+
+def seeds(nodes: DataFrame, tokens: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, id): nodes from which a question's walk starts, for questions (qid, words, scope): the file of
+    each path in its scope, and all nodes of whose names (tokens: token, id) one holds a keyword or shares
+    its stem. The different keywords are tested against the different tokens of names, not against nodes."""
+    words = questions.select("qid", F.explode("words").alias("word")).select("qid", F.lower("word").alias("word")).distinct()
+    words = counted(words.withColumn("stem", T.light_stem(F.col("word"))), "keywords", NODE_TERMS)
+    different = as_few(words.select("word", "stem").distinct(), words)
+    token, stem = F.col("token"), F.col("stem")
+    fits = token.contains(F.col("word")) | ((stem != "") & (token.contains(stem) | stem.contains(token)))
+    met = tokens.select("token").distinct().join(different, fits).select("token", "word")
+    by_word = tokens.join(met, "token").select("word", "id").distinct().join(words.select("qid", "word"), "word").select("qid", "id")
+    paths = counted(questions.select("qid", F.explode("scope").alias("path")).select("qid", F.regexp_replace("path", r"\\", "/").alias("path")).distinct(), "scope", NODE_TERMS)
+    name = F.regexp_replace("name", r"\\", "/")
+    own = (name == F.col("path")) | name.endswith(F.concat(F.lit("/"), F.col("path"))) | F.col("path").endswith(name)
+    by_path = nodes.filter("type = 'FILE'").join(paths, own).groupBy("qid", "path").agg(F.min("id").alias("id")).select("qid", "id")
+    return by_word.union(by_path).distinct()
+
+
+def configs(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, id): settings, for each question (qid, configs) whose strategy includes them. Questions are counted."""
+    asked = counted(questions.filter("configs").select("qid").distinct(), "asked", NODE_TERMS)
+    return nodes.filter("type = 'CONFIG'").select("id").join(asked, F.lit(True)).select("qid", "id")
+
+
+def seeded_pack(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, budget: int) -> DataFrame:
+    """(qid, id, rank): the pack around seeds (qid, id, ord): the seeds in order, then what their edges lead
+    to, then what leads to any of these, each in the order in which it is come upon (edges by id); of the
+    existing ones those that still fit the budget of tokens."""
+    seeds = seeds.groupBy("qid", "id").agg(F.min("ord").alias("ord"))
+    start = seeds.select("qid", "id", F.struct(F.lit(0).alias("phase"), F.col("ord").cast("long").alias("at"), F.lit("").alias("by")).alias("place"))
+    out = start.join(edges.select(F.col("from_node").alias("id"), "to_node"), "id")
+    out = out.select("qid", F.col("to_node").alias("id"), F.struct(F.lit(1).alias("phase"), F.col("place.at"), F.col("to_node").alias("by")).alias("place"))
+    first = start.union(out).groupBy("qid", "id").agg(F.min("place").alias("place"))
+    numbered = first.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy("place", "id")).cast("long"))
+    numbered = stage(numbered, "around")
+    into = numbered.join(edges.select(F.col("to_node").alias("id"), "from_node"), "id")
+    into = into.select("qid", F.col("from_node").alias("id"), F.struct(F.lit(2).alias("phase"), F.col("at"), F.col("from_node").alias("by")).alias("place"))
+    every = numbered.select("qid", "id", F.struct(F.lit(0).alias("phase"), F.col("at"), F.lit("").alias("by")).alias("place")).union(into)
+    every = every.groupBy("qid", "id").agg(F.min("place").alias("place")).join(nodes.select("id", "type", "name"), "id")
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("place", "id")))
+    ranked = ranked.select("qid", "id", "rank", tokens(F.concat_ws(" ", "id", "type", "name")).alias("cost"))
+    return first_fit(ranked, budget).join(ranked, ["qid", "id"]).select("qid", "id", "rank")

@@ -6,7 +6,7 @@ on each level is written to the shared folder, so plans stay short and survive l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import stage
@@ -56,15 +56,17 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, reverse: bool
     return reach(edges, seeds, depth, reverse).filter("depth > 0").select("id", F.col("type").alias("edge_type"), "depth")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 32) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, longest: int | None = None) -> DataFrame:
     """(path array<string>): one row, the shortest directed path, of several the least as an array; no
-    row if there is none. Each level keeps the least path to each new node, so it grows with nodes, not paths."""
+    row if there is none, or none of `longest` edges at most. Each level keeps the least path to each new node, so it grows with nodes, not paths."""
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(source, [source])], "id string, path array<string>")
     if source == target:
         return frontier.select("path")
     steps, seen = _directed(edges, False), frontier.select("id")
-    for level in range(1, longest + 1):
+    level = 0
+    while longest is None or level < longest:
+        level += 1
         found = frontier.join(steps, F.col("id") == F.col("a")).groupBy("b").agg(F.min("path").alias("path"))
         found = found.select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
         frontier = stage(found.join(seen, "id", "left_anti"), "paths")
@@ -139,3 +141,26 @@ def expand(edges: DataFrame, seeds: DataFrame, up: int, down: int, budget: int)
     first and by id, cut to the budget of nodes."""
     found = reach(edges, seeds, up, reverse=True).select("id", "depth").union(reach(edges, seeds, down).select("id", "depth"))
     return found.groupBy("id").agg(F.min("depth").alias("depth")).orderBy("depth", "id").limit(budget)
+
+
+def around(edges: DataFrame, seeds: DataFrame, most: int = 4) -> DataFrame:
+    """(qid, id, depth) for seeds (qid, id, up, down, budget): what lies up to `up` edges before or `down`
+    edges after a question's seeds, nearest first and by id, cut to each question's budget of nodes. All
+    questions walk together, `most` levels at most."""
+    start = seeds.select("qid", "id", F.lit(0).alias("depth")).distinct()
+    bounds = seeds.groupBy("qid").agg(F.max("up").alias("up"), F.max("down").alias("down"), F.max("budget").alias("budget"))
+    every = start
+    for reverse, bound in ((True, "up"), (False, "down")):
+        steps = _directed(edges, reverse).select("a", "b").distinct()
+        frontier, seen = start.select("qid", "id"), start.select("qid", "id")
+        for level in range(1, most + 1):
+            walks = frontier.join(bounds.filter(F.col(bound) >= level).select("qid"), "qid", "left_semi")
+            found = walks.join(steps, F.col("id") == F.col("a")).select("qid", F.col("b").alias("id")).distinct()
+            frontier = stage(found.join(seen, ["qid", "id"], "left_anti"), "around")
+            if frontier.isEmpty():
+                break
+            seen = seen.union(frontier)
+            every = every.union(frontier.withColumn("depth", F.lit(level)))
+    nearest = every.groupBy("qid", "id").agg(F.min("depth").alias("depth"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("depth", "id"))
+    return nearest.withColumn("_rank", rank).join(bounds, "qid").filter(F.col("_rank") <= F.col("budget")).select("qid", "id", "depth")

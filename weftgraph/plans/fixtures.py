@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.staging import stage
+from weftgraph.operators import rank
+from weftgraph.plans.staging import exists, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,18 +21,28 @@ def _id(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-_WRITTEN: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as a store holds them: written once for each application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        nodes, edges = derive(spark, sf_dir)
-        _WRITTEN[key] = stage(nodes, "nodes"), stage(edges, "edges")
+def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[DataFrame, ...]:
+    """What a store holds: written once for each application and folder, and again if it was removed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN or not all(map(exists, _WRITTEN[key])):
+        _WRITTEN[key] = tuple(stage(df, name) for df in make(spark, sf_dir))
     return _WRITTEN[key]
 
 
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as a store holds them."""
+    nodes, edges = _stored(spark, sf_dir, "graph", derive)
+    return nodes, edges
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the documents as files, as an index holds them."""
+    return _stored(spark, sf_dir, "terms", lambda s, d: (rank.file_terms(files(s, d).select("id", "path", "text")),))[0]
+
+
 def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes of five kinds; belonging by foreign keys, imports from line items, and a cyclic graph of
     nations; one edge ends at a node that doesn't exist."""

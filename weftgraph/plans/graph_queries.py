@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph import schema
+from weftgraph.functions import task
+from weftgraph.functions import text as T
 from weftgraph.operators import enrich, lookups, rank, resolve, store, traverse
 from weftgraph.plans import fixtures as X
 from weftgraph.plans.registry import query
@@ -71,9 +73,9 @@ def _(spark, d):
     return traverse.bfs(nodes, edges, ids(spark, "customer:1"), 2)[1].select("from_node", "to_node", "type")
 
 
-@query("e08_shortest_path", f"WITH RECURSIVE edges AS ({X.NATIONS_SQL}), p AS (SELECT ['nation:0'] AS path, 'nation:0' AS here, 0 AS n UNION ALL SELECT list_append(path, to_node), to_node, n + 1 FROM p JOIN edges ON from_node = here WHERE n < 7 AND here <> 'nation:17') SELECT array_to_string(path, '>') AS path FROM p WHERE here = 'nation:17' ORDER BY n, p.path LIMIT 1")
+@query("e08_shortest_path", f"{G.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS MATERIALIZED (SELECT DISTINCT from_node, to_node FROM edges), p AS (SELECT ['customer:1'] AS path, 'customer:1' AS here, 0 AS n UNION ALL SELECT list_append(path, to_node), to_node, n + 1 FROM p JOIN e ON from_node = here WHERE n < 5 AND here <> 'nation:17') SELECT array_to_string(path, '>') AS path FROM p WHERE here = 'nation:17' ORDER BY n, p.path LIMIT 1")
 def _(spark, d):
-    return traverse.shortest_path(X.nation_edges(spark, d), "nation:0", "nation:17").select(F.array_join("path", ">").alias("path"))
+    return traverse.shortest_path(X.graph(spark, d)[1], "customer:1", "nation:17").select(F.array_join("path", ">").alias("path"))
 
 
 @query("e09_subgraph", f"{G} SELECT from_node, to_node, type FROM edges WHERE from_node IN (SELECT id FROM nodes WHERE source IN ('nation', 'region')) AND to_node IN (SELECT id FROM nodes WHERE source IN ('nation', 'region'))")
@@ -152,12 +154,12 @@ def _(spark, d):
     return lookups.conflicts_for(enrich.naming_conflicts(files), asked)
 
 
-@query("e20_patterns_for", "SELECT 'pattern:' || r_name AS id FROM region WHERE list_has_any(['nation:' || r_regionkey, 'nation:' || (r_regionkey + 5)], ['nation:2', 'nation:5'])")
+@query("e20_patterns_for", "SELECT 'pattern:' || p_partkey AS id FROM part WHERE list_has_any(['supplier:' || (p_partkey % 40), 'supplier:' || (p_partkey * 7 % 100)], ['supplier:3', 'supplier:50'])")
 def _(spark, d):
-    r = F.col("r_regionkey")
-    nation = lambda k: F.concat(F.lit("nation:"), k.cast("string"))
-    patterns = X.table(spark, d, "region").select(F.concat(F.lit("pattern:"), "r_name").alias("id"), F.array(nation(r), nation(r + 5)).alias("affects"))
-    return lookups.patterns_for(patterns, ids(spark, "nation:2", "nation:5")).select("id")
+    k = F.col("p_partkey")
+    supplier = lambda n: F.concat(F.lit("supplier:"), n.cast("string"))
+    patterns = X.table(spark, d, "part").select(F.concat(F.lit("pattern:"), k.cast("string")).alias("id"), F.array(supplier(k % 40), supplier(k * 7 % 100)).alias("affects"))
+    return lookups.patterns_for(patterns, ids(spark, "supplier:3", "supplier:50")).select("id")
 
 
 _CYCLES = f"WITH RECURSIVE edges AS ({X.NATIONS_SQL}), p AS (SELECT from_node AS first, to_node AS last, [from_node, to_node] AS path FROM edges WHERE to_node > from_node UNION ALL SELECT first, to_node, list_append(path, to_node) FROM p JOIN edges ON from_node = last WHERE to_node > first AND NOT list_contains(path, to_node) AND len(path) < 4), c AS (SELECT DISTINCT list_sort(path) AS nodes FROM p WHERE EXISTS (SELECT 1 FROM edges WHERE from_node = last AND to_node = first)) "
@@ -195,9 +197,9 @@ def _(spark, d):
     return lookups.node_detail(nodes, edges, "nation:0")
 
 
-@query("e25_graph_sample", f"{G}, s AS (SELECT id FROM nodes ORDER BY id LIMIT 200) SELECT from_node, to_node, type FROM edges WHERE from_node IN (SELECT id FROM s) AND to_node IN (SELECT id FROM s) ORDER BY from_node, to_node, type LIMIT 150")
+@query("e25_graph_sample", f"{G}, s AS (SELECT id FROM nodes ORDER BY id LIMIT 3000) SELECT from_node, to_node, type FROM edges WHERE from_node IN (SELECT id FROM s) AND to_node IN (SELECT id FROM s) ORDER BY from_node, to_node, type LIMIT 150")
 def _(spark, d):
-    return lookups.graph_sample(*X.graph(spark, d), 200)[1].select("from_node", "to_node", "type")
+    return lookups.graph_sample(*X.graph(spark, d), 3000)[1].select("from_node", "to_node", "type")
 
 
 @query("e26_degree", f"{G} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT from_node AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_node, 0, 1 FROM edges) GROUP BY id")
@@ -282,7 +284,10 @@ def _(spark, d):
     return store.diff(old, new, ["id"])
 
 
-@query("d11_edge_diff", f"{G}, new AS (SELECT from_node, to_node, CASE WHEN type = 'DEPENDS_ON' THEN 'CALLS' ELSE type END AS type, CASE WHEN type = 'BELONGS_TO' THEN 0.5 ELSE weight END AS weight FROM edges) SELECT coalesce(o.from_node, n.from_node) AS from_node, coalesce(o.to_node, n.to_node) AS to_node, coalesce(o.type, n.type) AS type, CASE WHEN o.type IS NULL THEN 'added' WHEN n.type IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM edges o FULL JOIN new n ON o.from_node = n.from_node AND o.to_node = n.to_node AND o.type = n.type WHERE o.type IS NULL OR n.type IS NULL OR o.weight <> n.weight")
+_EDGE_KEY = "from_node || '|' || to_node || '|' || type"
+
+
+@query("d11_edge_diff", f"{G}, o AS MATERIALIZED (SELECT *, {_EDGE_KEY} AS k FROM edges), m AS (SELECT from_node, to_node, CASE WHEN type = 'DEPENDS_ON' THEN 'CALLS' ELSE type END AS type, CASE WHEN type = 'BELONGS_TO' THEN 0.5 ELSE weight END AS weight FROM edges), n AS MATERIALIZED (SELECT *, {_EDGE_KEY} AS k FROM m) SELECT from_node, to_node, type, 'added' AS change FROM n ANTI JOIN o USING (k) UNION ALL SELECT from_node, to_node, type, 'deleted' FROM o ANTI JOIN n USING (k) UNION ALL SELECT o.from_node, o.to_node, o.type, 'updated' FROM o JOIN n USING (k) WHERE o.weight <> n.weight")
 def _(spark, d):
     old = X.graph(spark, d)[1]
     new = old.withColumns({"weight": F.when(F.col("type") == "BELONGS_TO", 0.5).otherwise(F.col("weight")), "type": F.when(F.col("type") == "DEPENDS_ON", "CALLS").otherwise(F.col("type"))})
@@ -413,10 +418,9 @@ def _(spark, d):
     return resolve.resolve(part_imports(spark, d), part_files_ordered(spark, d))
 
 
-@query("c03_common_root", "SELECT 'src/' || min(n_regionkey) AS root FROM nation WHERE n_regionkey = 3")
+@query("c03_common_root", f"WITH {X.PART_FILES_SQL}, b AS (SELECT string_split(min('src/lib/' || path), '/') AS a, string_split(max('src/lib/' || path), '/') AS z FROM part_files), i AS (SELECT a, z, unnest(range(1, least(len(a), len(z)))) AS i FROM b) SELECT string_agg(a[i], '/' ORDER BY i) AS root FROM i WHERE a[1:i] = z[1:i]")
 def _(spark, d):
-    n = X.table(spark, d, "nation").filter("n_regionkey = 3")
-    return resolve.common_root(n.select(F.concat(F.lit("src/"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_name"), F.lit("/x.py")).alias("path")))
+    return resolve.common_root(X.part_files(spark, d).select(F.concat(F.lit("src/lib/"), "path").alias("path")))
 
 
 @query("c07_script_candidates", """WITH s AS (SELECT p_partkey AS k FROM part) SELECT 'file:web/' || k || '.js' AS from_node, CASE k % 3 WHEN 0 THEN 'file:lib/' || k || '.ts' WHEN 1 THEN 'file:lib/' || k || '/index.tsx' END AS to_node, 'IMPORTS' AS type, 1 AS line, '../lib/' || k AS import_str FROM s WHERE k % 3 < 2""")
@@ -445,3 +449,67 @@ def _(spark, d):
     nodes, edges = X.graph(spark, d)
     critical = lookups.critical_edges(edges, nodes.filter("source = 'nation'").select("id"))
     return rank.pack_edges(critical).select("from_node", "to_node", "type", "true_type")
+
+
+# selection ------------------------------------------------------------------------------------------
+
+#: Questions asked of the graph: id, kind, words, their light stems, paths.
+GRAPH_ASKED = (
+    (1, "BUG_FIX", ("suppliers", "000000017"), ("supplier", ""), ("src/nation_7",)),
+    (2, "ANALYSIS", ("red", "MOROCCO"), ("", ""), ()),
+    (3, "OPTIMIZATION", ("customers", "steel"), ("customer", ""), ("lib/FRANCE", "FRANCE")),
+)
+_ASKED_WORDS = ", ".join(f"({q}, '{w.lower()}', '{t}')" for q, _, words, stems, _ in GRAPH_ASKED for w, t in zip(words, stems, strict=True))
+_ASKED_PATHS = ", ".join(f"({q}, '{p}')" for q, *_, paths in GRAPH_ASKED for p in paths)
+
+
+def graph_questions(spark):
+    rows = [(q, kind, list(words), list(paths)) for q, kind, words, _, paths in GRAPH_ASKED]
+    return spark.createDataFrame(rows, "qid int, kind string, words array<string>, scope array<string>")
+
+
+@query("g08_seeds", f"{G}, {_TOKENS}, kw(qid, w, s) AS (VALUES {_ASKED_WORDS}), sp(qid, p) AS (VALUES {_ASKED_PATHS}), m AS (SELECT DISTINCT qid, token FROM (SELECT DISTINCT token FROM tokens) JOIN kw ON contains(token, w) OR (s <> '' AND (contains(token, s) OR contains(s, token)))) SELECT qid, id FROM m JOIN tokens USING (token) UNION SELECT qid, min(id) FROM nodes JOIN sp ON name = p OR ends_with(name, '/' || p) OR ends_with(p, name) WHERE type = 'FILE' GROUP BY qid, p")
+def _(spark, d):
+    nodes = X.graph(spark, d)[0]
+    return rank.seeds(nodes, lookups.name_tokens(nodes), graph_questions(spark))
+
+
+@query("g10_configs", f"{G}, q(qid, kind) AS (VALUES {', '.join(f'({q}, {k!r})' for q, k, *_ in GRAPH_ASKED)}), s(kind, configs) AS (VALUES {', '.join(f'({k[0]!r}, {k[3]})' for k in task.STRATEGIES)}) SELECT qid, id FROM q JOIN s USING (kind) JOIN nodes ON configs AND type = 'CONFIG'")
+def _(spark, d):
+    return rank.configs(X.graph(spark, d)[0], task.with_strategy(graph_questions(spark)))
+
+
+_NODE_WANTED = f"kq(qid, word) AS (VALUES {', '.join(f'({q}, {w!r})' for q, _, words, *_ in GRAPH_ASKED for w in words)}), kc AS (SELECT *, {T.cut_sql('word')} AS cut FROM kq), nw AS (SELECT qid, term, 1 + least(length(term), 12) / 12.0::DOUBLE AS w FROM (SELECT DISTINCT qid, {T.bucket_sql('word', 'cut')} AS term FROM kc)), nmost AS (SELECT qid, sum(w) AS most FROM nw GROUP BY qid), nmatch AS (SELECT qid, id, sum(w) / any_value(most) AS match FROM (SELECT id, lower(concat_ws(' ', name, regexp_replace(coalesce(metadata, ''), '\"[^\"]*\"\\s*:', '', 'g'))) AS t FROM nodes WHERE type <> 'FILE') JOIN nw ON contains(t, term) JOIN nmost USING (qid) GROUP BY qid, id)"
+
+
+def node_matches(spark, d):
+    questions = graph_questions(spark).select("qid", F.col("words").alias("terms"))
+    return rank.node_match(X.graph(spark, d)[0].filter("type <> 'FILE'"), questions)
+
+
+@query("g13_node_match", f"{G}, {_NODE_WANTED} SELECT qid, id, round(match, 6) AS match FROM nmatch")
+def _(spark, d):
+    return node_matches(spark, d).select("qid", "id", F.round("match", 6).alias("match"))
+
+
+_RISKS = "CASE hash_risk WHEN 0 THEN 2.0 WHEN 1 THEN 1.0 ELSE 0.0 END"
+_TYPE_WEIGHT = "(VALUES " + ", ".join(f"('{k}', '{t}', {w}::DOUBLE)" for k, t, w in rank.TYPE_WEIGHTS) + ") AS tw(kind, type, tw)"
+
+
+@query("g19_score_nodes", f"{G}, {_NODE_WANTED}, q(qid, kind) AS (VALUES {', '.join(f'({q}, {k!r})' for q, k, *_ in GRAPH_ASKED)}), deg AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT from_node AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_node, 0, 1 FROM edges) GROUP BY id), k AS (SELECT qid, q.kind, n.id, n.type, match, coalesce(o, 0) AS o, coalesce(i, 0) AS i, length(n.id) % 3 AS hash_risk, length(n.id) % 4 = 0 AS orphan, length(n.id) * 3.0::DOUBLE AS complexity, length(n.id) % 2 = 0 AS off FROM nmatch JOIN nodes n USING (id) JOIN q USING (qid) LEFT JOIN deg USING (id)), s AS (SELECT k.*, ((1.5 + 0.5::DOUBLE * least(ln(1 + o), 6.0::DOUBLE) + 0.6::DOUBLE * least(ln(1 + i), 6.0::DOUBLE)) * CASE WHEN orphan THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END + {_RISKS}::DOUBLE) * coalesce(tw, 1.0::DOUBLE) + least(complexity / 50.0::DOUBLE, 1.0::DOUBLE) AS structure FROM k LEFT JOIN {_TYPE_WEIGHT} USING (kind, type)) SELECT qid, id, round((15.0::DOUBLE * match + structure + CASE type WHEN 'CLASS' THEN 0.7::DOUBLE WHEN 'FUNCTION' THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END) * CASE WHEN off AND type IN ('FUNCTION', 'CLASS') THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END, 3) AS score FROM s")
+def _(spark, d):
+    nodes, edges = X.graph(spark, d)
+    found = node_matches(spark, d).join(nodes, "id").join(F.broadcast(graph_questions(spark).select("qid", "kind")), "qid").join(lookups.degrees(edges), "id", "left")
+    n = F.length("id")
+    risk = F.when(n % 3 == 0, "high").when(n % 3 == 1, "medium").otherwise("low")
+    value = rank.score(F.col("source"), F.col("type"), F.col("confidence"), F.coalesce("out_degree", F.lit(0)), F.coalesce("in_degree", F.lit(0)), F.col("match"), F.col("kind"), risk=risk, orphan=n % 4 == 0, complexity=n * 3.0, off_name=n % 2 == 0)
+    return found.select("qid", "id", value.alias("score"))
+
+
+_PACKED = 400
+
+
+@query("g29_seeded_pack", f"{G.replace('WITH ', 'WITH RECURSIVE ', 1)}, sd(id, o) AS (VALUES ('nation:3', 1), ('supplier:5', 2)), f AS (SELECT id, min(ROW(ph, o, b)) AS pl FROM (SELECT id, 0 AS ph, o, '' AS b FROM sd UNION ALL SELECT to_node, 1, o, to_node FROM sd JOIN edges ON from_node = sd.id) GROUP BY id), n AS (SELECT id, row_number() OVER (ORDER BY pl, id) AS pos FROM f), ev AS (SELECT id, min(ROW(ph, pos, b)) AS pl FROM (SELECT id, 0 AS ph, pos, '' AS b FROM n UNION ALL SELECT from_node, 2, pos, from_node FROM n JOIN edges ON to_node = n.id) GROUP BY id), r AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY pl, id) AS rank, greatest(1, length(id || ' ' || type || ' ' || name) // 4)::BIGINT AS cost FROM ev JOIN nodes USING (id)), fit AS (SELECT 0::BIGINT AS rank, 0::BIGINT AS used, NULL::VARCHAR AS id UNION ALL SELECT r.rank, CASE WHEN used + cost <= {_PACKED} THEN used + cost ELSE used END, CASE WHEN used + cost <= {_PACKED} THEN r.id END FROM fit JOIN r ON r.rank = fit.rank + 1) SELECT id, rank::INTEGER AS rank FROM fit WHERE id IS NOT NULL")
+def _(spark, d):
+    start = spark.createDataFrame([(1, "nation:3", 1), (1, "supplier:5", 2)], "qid int, id string, ord int")
+    return rank.seeded_pack(*X.graph(spark, d), start, _PACKED).select("id", "rank")

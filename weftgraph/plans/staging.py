@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: set[str] = set()
@@ -44,6 +45,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+BROADCAST_ROWS = 200_000
+
+
+def counted(df: DataFrame, tag: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged table of slim rows, hinted for a broadcast if it has few of them by count; else its joins shuffle."""
+    table = stage(df, tag)
+    few = table.count() <= bound
+    out = F.broadcast(table) if few else table
+    out._staged, out._few = table._staged, few
+    return out
+
+
+def as_few(df: DataFrame, as_: DataFrame) -> DataFrame:
+    """Hints a broadcast of df, which has no more rows than a counted table, if that one is small."""
+    return F.broadcast(df) if as_._few else df
+
+
+def exists(table: DataFrame) -> bool:
+    """Whether a staged table's folder is still there."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table._staged)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and the
     table survives the loss of executors. The write's shuffle files are given up when it is done."""

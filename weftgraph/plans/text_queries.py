@@ -213,13 +213,9 @@ fc AS (SELECT id, piece, {T.cut_sql('piece')} AS cut FROM fa),
 terms AS (SELECT DISTINCT id, {T.bucket_sql('piece', 'cut')} AS term FROM fc)"""
 
 
-def terms(spark, d):
-    return rank.file_terms(X.files(spark, d).select("id", "path", "text"))
-
-
 @query("p16_file_terms", f"WITH {_TERMS} SELECT id, term FROM terms")
 def _(spark, d):
-    return terms(spark, d)
+    return rank.file_terms(X.files(spark, d).select("id", "path", "text"))
 
 
 # questions ------------------------------------------------------------------------------------------
@@ -295,19 +291,19 @@ def asked(spark):
 
 @query("g11_document_frequency", f"WITH {_TERMS} SELECT term, count(*) AS df FROM terms GROUP BY term")
 def _(spark, d):
-    return rank.document_frequency(terms(spark, d))
+    return rank.document_frequency(X.terms(spark, d))
 
 
 @query("g12_idf", f"WITH {_TERMS}, n AS (SELECT count(DISTINCT id) AS files FROM terms) SELECT term, round(ln((any_value(files) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM terms CROSS JOIN n GROUP BY term")
 def _(spark, d):
-    t = terms(spark, d)
+    t = X.terms(spark, d)
     files = X.files(spark, d).agg(F.count(F.lit(1)).alias("files"))
     return rank.document_frequency(t).crossJoin(F.broadcast(files)).select("term", F.round(rank.idf(F.col("df"), F.col("files")), 6).alias("idf"))
 
 
 @query("g13_text_match", f"{_RANK} SELECT qid, id, round(match, 6) AS match FROM found")
 def _(spark, d):
-    return rank.text_match(terms(spark, d), asked(spark), X.files(spark, d).select("id")).select("qid", "id", F.round("match", 6).alias("match"))
+    return rank.text_match(X.terms(spark, d), asked(spark), X.files(spark, d).select("id")).select("qid", "id", F.round("match", 6).alias("match"))
 
 
 @query("g14_g15_weak_files", f"{W} SELECT path, regexp_matches(list_last(string_split(path, '/')), '^test_|_test(\\.py)?$') AS is_test, regexp_matches(list_last(string_split(path, '/')), '\\.(md|markdown|rst|txt|adoc)$') AS is_prose FROM files")
@@ -349,7 +345,7 @@ def scored(spark, d):
     bounds = files.agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"))
     ends = files.select("id", "path", "doc_id").crossJoin(F.broadcast(bounds))
     ends = ends.select("id", "path", (F.col("doc_id") != F.col("_hi")).cast("int").alias("o"), (F.col("doc_id") != F.col("_lo")).cast("int").alias("i"))
-    found = rank.text_match(terms(spark, d), asked(spark), X.files(spark, d).select("id")).join(F.broadcast(asked(spark).select("qid", "kind")), "qid").join(ends, "id")
+    found = rank.text_match(X.terms(spark, d), asked(spark), X.files(spark, d).select("id")).join(F.broadcast(asked(spark).select("qid", "kind")), "qid").join(ends, "id")
     value = rank.score(F.col("path"), F.lit("FILE"), F.lit(0.95), F.col("o"), F.col("i"), F.col("match"), F.col("kind"))
     return found.select("qid", "id", "path", value.alias("score"))
 
@@ -411,10 +407,11 @@ def context_pack(spark, d):
     return cut.select("qid", "id", "path", "rank", "score", "used")
 
 
-@query("g18_type_weights", "SELECT kind, type, coalesce(w, 1.0::DOUBLE) AS weight FROM (VALUES ('BUG_FIX'), ('REFACTOR'), ('ANALYSIS'), ('OPTIMIZATION')) AS k(kind) CROSS JOIN (VALUES ('FILE'), ('CLASS'), ('FUNCTION'), ('MODULE'), ('CONFIG')) AS t(type) LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{t}', {w}::DOUBLE)" for k, t, w in rank.TYPE_WEIGHTS) + ") AS w(kind, type, w) USING (kind, type)")
+@query("g18_type_weights", f"WITH {X.GRAPH_SQL} SELECT kind, type, coalesce(w, 1.0::DOUBLE) AS weight, count(*) AS n FROM (VALUES ('BUG_FIX'), ('REFACTOR'), ('ANALYSIS'), ('OPTIMIZATION')) AS k(kind) CROSS JOIN nodes LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{t}', {w}::DOUBLE)" for k, t, w in rank.TYPE_WEIGHTS) + ") AS w(kind, type, w) USING (kind, type) GROUP BY 1, 2, 3")
 def _(spark, d):
-    rows = [(k, t) for k in ("BUG_FIX", "REFACTOR", "ANALYSIS", "OPTIMIZATION") for t in ("FILE", "CLASS", "FUNCTION", "MODULE", "CONFIG")]
-    return spark.createDataFrame(rows, "kind string, type string").withColumn("weight", rank.weight_of_type(F.col("kind"), F.col("type")))
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("BUG_FIX", "REFACTOR", "ANALYSIS", "OPTIMIZATION")])).alias("kind")
+    pairs = X.graph(spark, d)[0].select(kinds, "type")
+    return pairs.groupBy("kind", "type", rank.weight_of_type(F.col("kind"), F.col("type")).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g27_required_files", f"{_RANK}, {_SCORE}, own AS (SELECT DISTINCT split_part(path, '/', 1) AS file FROM files) SELECT file FROM own WHERE EXISTS (SELECT 1 FROM top WHERE contains(top.path, file))")
