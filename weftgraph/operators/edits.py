@@ -65,3 +65,11 @@ def matches_fingerprint(edits: DataFrame, files: DataFrame) -> DataFrame:
     """(edit_id, current): whether a file still is what the edit was written against (fingerprint)."""
     own = files.select("path", F.substring(F.sha2(F.col("content").cast("string"), 256), 1, 16).alias("_now"))
     return edits.join(own, "path", "left").select("edit_id", F.coalesce(F.col("_now") == F.col("fingerprint"), F.lit(False)).alias("current"))
+
+
+def until_first_failure(checked: DataFrame, order: str = "ord") -> DataFrame:
+    """(edit_id, status) of edits (edit_id, current, order) applied in order: those before the first that is not
+    current are applied, that one failed, and the later ones are skipped."""
+    first = checked.filter(~F.col("current")).agg(F.min(order).alias("_first"))
+    status = F.when(F.col("_first").isNull() | (F.col(order) < F.col("_first")), "applied").when(F.col(order) == F.col("_first"), "failed").otherwise("skipped")
+    return checked.crossJoin(F.broadcast(first)).select("edit_id", status.alias("status"))

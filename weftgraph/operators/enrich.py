@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import schema
+from weftgraph.plans.staging import as_few, counted
 
 # Signals of design patterns, naming conventions, names that say nothing.
 PATTERN_SIGNALS = (
@@ -18,6 +19,9 @@ CONVENTIONS = (("snake_case", "^[a-z][a-z0-9_]*$"), ("PascalCase", "^[A-Z][a-zA-
 COMMON_NAMES = ("__init__", "setup", "conftest", "index")
 
 
+PARTS = 100_000  # parts of paths with a signal that are broadcast at most
+
+
 def _parts(path: Column) -> Column:
     return F.split(F.regexp_replace(path, r"\\", "/"), "/")
 
@@ -38,10 +42,15 @@ def design_patterns(files: DataFrame, least: int = 2) -> DataFrame:
 
 
 def pattern_locations(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, part, path): files whose path holds a part's text, in any case. The parts found are
-    different path parts, so the files are joined on their own parts first where they are equal, and
-    by containment in the few parts left."""
-    return files.select("path").join(F.broadcast(patterns.select("pattern", "part")), F.lower("path").contains(F.lower("part")))
+    """(pattern, part, path): files whose path holds a part's text, in any case.
+
+    The different parts of paths are tested against the different parts of patterns; what meets is joined
+    back to the files by part. A pattern's part lies within one part of a path, as it holds no slash, so
+    files themselves are never tested against patterns."""
+    wanted = counted(patterns.select("pattern", "part").distinct(), "patterns", PARTS)
+    parts = files.select("path", F.explode(F.array_distinct(_parts(F.lower("path")))).alias("_own"))
+    met = parts.select("_own").distinct().join(as_few(wanted.select("part").distinct(), wanted), F.col("_own").contains(F.lower("part")))
+    return parts.join(met, "_own").select("path", "part").distinct().join(wanted, "part").select("pattern", "part", "path")
 
 
 def naming_conventions(files: DataFrame) -> DataFrame:
@@ -63,6 +72,15 @@ def naming_conflicts(files: DataFrame) -> DataFrame:
     return left.select(F.col("a.path").alias("source_a"), F.col("b.path").alias("source_b"), F.col("a.base").alias("base"))
 
 
+def naming_groups(files: DataFrame) -> DataFrame:
+    """(base, files, folders, first, last): base names that stand in several folders, with their least and
+    greatest path: a row for each name, where ``naming_conflicts`` has one for each pair."""
+    base = F.lower(F.split_part(F.element_at(_parts(F.col("path")), -1), F.lit("."), F.lit(1)))
+    own = files.select("path", base.alias("base"), parent(F.col("path")).alias("dir")).filter(~F.col("base").isin(*COMMON_NAMES))
+    found = own.groupBy("base").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("dir").alias("folders"), F.min("path").alias("first"), F.max("path").alias("last"))
+    return found.filter("folders > 1")
+
+
 def pattern_nodes(patterns: DataFrame) -> DataFrame:
     best = patterns.groupBy("pattern").agg(F.max_by(F.struct("confidence", "part", "n"), F.struct("n", "part")).alias("m"))
     metadata = F.to_json(F.struct(F.col("m.n").alias("occurrences"), F.col("m.part").alias("part")))

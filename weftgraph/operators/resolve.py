@@ -13,6 +13,14 @@ def dotted(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), "/", ".")
 
 
+def relativize(path: Column, root: str | None) -> Column:
+    """An absolute path below the root without it; other paths, and all without a root, as they are."""
+    if root is None:
+        return path
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+
+
 def common_root(files: DataFrame, installed: tuple[str, ...] = ("node_modules", "venv", ".venv", "site-packages")) -> DataFrame:
     """(root): the folders that all paths share, null for one file only, for none, or inside installed
     packages. The common prefix of all paths is that of the least and the greatest as arrays."""
@@ -71,12 +79,12 @@ def candidates(source: Column, target: Column, level: Column) -> Column:
     return F.when(relative, F.concat(exact, script)).when(target.startswith(".") | (level > 0), F.concat(exact, python)).otherwise(F.concat(exact, sibling))
 
 
-def resolve(dependencies: DataFrame, files: DataFrame) -> DataFrame:
+def resolve(dependencies: DataFrame, files: DataFrame, drop_self: bool = False) -> DataFrame:
     """Import edges (from_node, to_node, type, line, import_str) between files (path, ord).
 
     dependencies: source_file, target_module, level, line. A path given exactly comes first, then a
     module's key for imports that aren't relative, then the candidates by rule; the first that exists
-    holds. Self-imports are kept.
+    holds. Self-imports are kept unless dropped.
     """
     deps = dependencies.select("source_file", "target_module", F.coalesce("level", F.lit(0)).alias("level"), "line")
     known = files.select(F.col("path").alias("_path"))
@@ -87,4 +95,6 @@ def resolve(dependencies: DataFrame, files: DataFrame) -> DataFrame:
     keyed = asked.filter(~relative).join(module_index(files), F.col("target_module") == F.col("key")).select("source_file", "target_module", "level", F.lit(1).alias("_rank"), F.col("path").alias("_path"))
     found = tried.union(keyed).groupBy("source_file", "target_module", "level").agg(F.min(F.struct("_rank", "_path")).alias("m"))
     edges = deps.join(found, ["source_file", "target_module", "level"])
+    if drop_self:
+        edges = edges.filter(F.col("source_file") != F.col("m._path"))
     return edges.select(F.concat(F.lit("file:"), "source_file").alias("from_node"), F.concat(F.lit("file:"), F.col("m._path")).alias("to_node"), F.lit("IMPORTS").alias("type"), "line", F.col("target_module").alias("import_str"))

@@ -1,14 +1,16 @@
 """Set-based mutation of the graph's tables: upserts, deletes, diffs, snapshots.
 
 A store is a directory of immutable snapshots; each mutation is a plan over the last one, and a
-commit writes the new tables and then moves a small pointer file, which readers follow.
+commit writes the new tables and then a numbered pointer file; readers follow the largest number.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from weftgraph import schema
 
 
 def last_per_key(rows: DataFrame, key: list[str], order: str = "ord") -> DataFrame:
-    """Of rows with one key the last by the order column; a maximum, so combined before the shuffle."""
+    """Of rows with one key the last by the order column, of equal ones the greatest by its other columns; a
+    maximum, so combined before the shuffle."""
     return _extreme(rows, key, F.max_by, order)
 
 
@@ -26,7 +29,8 @@ def first_per_key(rows: DataFrame, key: list[str], order: str = "ord") -> DataFr
 
 def _extreme(rows: DataFrame, key: list[str], pick, order: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
-    picked = rows.groupBy(*key).agg(pick(F.struct(*rest), F.col(order)).alias("_row"))
+    whole = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})  # some columns, such as maps, have no order
+    picked = rows.groupBy(*key).agg(pick(F.struct(*rest), F.struct(F.col(order), whole)).alias("_row"))
     return picked.select(*key, "_row.*").select(*rows.columns)
 
 
@@ -99,42 +103,126 @@ def stale_edges(edges: DataFrame, fresh: DataFrame, nodes: DataFrame, unreadable
     return left.filter("_f IS NULL OR _t IS NULL").select(*edges.columns)
 
 
+ABANDONED = 600.0  # seconds after which a claim without its pointer was left by a writer that died
+
+
+class ConflictError(RuntimeError):
+    """Another writer committed first."""
+
+
+class Lock:
+    """A lock file in a folder that all writers see, as a context manager.
+
+    Creating the file without overwriting decides who holds it. A lock older than `stale` seconds was
+    left by a writer that died, and is taken over."""
+
+    def __init__(self, spark: SparkSession, folder: str, wait: float = 60.0, stale: float = 6 * 3600.0) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._at, self.wait, self.stale, self.owner = self._path(f"{folder.rstrip('/')}/LOCK"), wait, stale, uuid.uuid4().hex
+        self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def acquire(self) -> bool:
+        """Whether the lock is taken now."""
+        try:
+            out = self._fs.create(self._at, False)
+        except Py4JJavaError:
+            return self._take_over()
+        out.write(bytearray(json.dumps({"owner": self.owner, "time": time.time()}).encode()))
+        out.close()
+        return True
+
+    def _take_over(self) -> bool:
+        try:
+            age = time.time() - self._fs.getFileStatus(self._at).getModificationTime() / 1000
+        except Py4JJavaError:  # given up meanwhile
+            return False
+        if age > self.stale and self._fs.rename(self._at, self._path(f"{self._at}-{self.owner}")):
+            self._fs.delete(self._path(f"{self._at}-{self.owner}"), False)
+        return False
+
+    def release(self) -> None:
+        self._fs.delete(self._at, False)
+
+    def __enter__(self) -> Lock:
+        until = time.monotonic() + self.wait
+        while not self.acquire():
+            if time.monotonic() > until:
+                raise TimeoutError(f"{self._at} is held by another writer")
+            time.sleep(0.2)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
+
 class SnapshotStore:
-    """Nodes and edges as versioned Parquet snapshots under a root that Spark can read and write."""
+    """Tables as versioned Parquet snapshots under a root that Spark can read and write.
+
+    A version's tables are all under one name, so they change together. Pointers are numbered: a commit
+    creates the next number's file, which fails if another writer did so first, and readers follow the
+    largest one. There is no moment without a pointer."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def lock(self, wait: float = 60.0) -> Lock:
+        self._fs.mkdirs(self._path(self.root))
+        return Lock(self.spark, self.root, wait)
+
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, version) of the commits that are kept, in order."""
+        names = [s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.root}/CURRENT-*")) or []]
+        return sorted((int(n), v) for n, _, v in (name.removeprefix("CURRENT-").partition("-") for name in names))
+
     def version(self) -> str | None:
         """The current snapshot's name."""
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()[0])["version"]
-
-    def read(self) -> tuple[DataFrame, DataFrame]:
-        name = self.version()
-        if name is None:
+        found = self._pointers()
+        return found[-1][1] if found else None
+
+    def table(self, name: str, version: str | None = None) -> DataFrame | None:
+        """A table of a snapshot, the current one by default; none if it has no such table."""
+        version = version or self.version()
+        at = f"{self.root}/{version}/{name}"
+        return self.spark.read.parquet(at) if version and self._fs.exists(self._path(at)) else None
+
+    def read(self, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+        version = version or self.version()
+        if version is None:
             return self.spark.createDataFrame([], schema.NODES), self.spark.createDataFrame([], schema.EDGES)
-        tables = [self.spark.read.schema(s).parquet(f"{self.root}/{name}/{t}") for t, s in (("nodes", schema.NODES), ("edges", schema.EDGES))]
+        tables = [self.spark.read.schema(s).parquet(f"{self.root}/{version}/{t}") for t, s in (("nodes", schema.NODES), ("edges", schema.EDGES))]
         return tables[0], tables[1]
 
-    def commit(self, nodes: DataFrame, edges: DataFrame) -> str:
-        """Writes a snapshot and then moves the pointer to it by a rename; a failure before leaves the old one."""
-        name = f"v-{uuid.uuid4().hex}"
-        nodes.select(*[c.split()[0] for c in schema.NODES.split(", ")]).write.parquet(f"{self.root}/{name}/nodes")
-        edges.select(*[c.split()[0] for c in schema.EDGES.split(", ")]).write.parquet(f"{self.root}/{name}/edges")
-        fresh = self._path(f"{self.root}/CURRENT-{name}")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": name}).encode()))
-        out.close()
-        current = self._path(f"{self.root}/CURRENT")
-        self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
+    def commit(self, nodes: DataFrame, edges: DataFrame, tables: dict[str, DataFrame] | None = None) -> str:
+        """Writes a snapshot and then its pointer; a failure before leaves the old one current. Of two
+        writers that began from one snapshot the later one fails."""
+        found = self._pointers()
+        number, name = found[-1][0] + 1 if found else 1, f"v{uuid.uuid4().hex}"
+        every = {"nodes": nodes.select(*[c.split()[0] for c in schema.NODES.split(", ")]), "edges": edges.select(*[c.split()[0] for c in schema.EDGES.split(", ")])}
+        for table, rows in (every | (tables or {})).items():
+            rows.write.parquet(f"{self.root}/{name}/{table}")
+        claim = self._path(f"{self.root}/CLAIM-{number:012d}")
+        try:
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            taken = any(n >= number for n, _ in self._pointers())
+            if taken or time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 < ABANDONED:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
+                raise ConflictError(f"snapshot {number} of {self.root} was committed by another writer") from e
+            # its writer died before the pointer was written
+        self._fs.create(self._path(f"{self.root}/CURRENT-{number:012d}-{name}"), False).close()
         return name
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all but the last snapshots; returns how many. Plans that still read older ones fail then."""
+        old = self._pointers()[:-keep]
+        for number, version in old:
+            self._fs.delete(self._path(f"{self.root}/CURRENT-{number:012d}-{version}"), False)
+            self._fs.delete(self._path(f"{self.root}/CLAIM-{number:012d}"), False)
+            self._fs.delete(self._path(f"{self.root}/{version}"), True)
+        return len(old)
+
     def apply(self, node_upserts: DataFrame | None = None, node_deletes: DataFrame | None = None, edge_upserts: DataFrame | None = None, edge_deletes: DataFrame | None = None) -> str:
         """Node deletes with their edges, node upserts, edge deletes, edge upserts, as one commit."""
         nodes, edges = self.read()
@@ -153,3 +241,9 @@ def ordered(rows: DataFrame, *by: str) -> DataFrame:
     """Adds the order column that upserts need, from columns of the rows."""
     return rows.withColumn("ord", F.struct(*[F.col(c) for c in by]))
 
+
+def open_store(spark: SparkSession, root: str, kind: str = "parquet") -> SnapshotStore:
+    """The store of a kind; there is one."""
+    if kind != "parquet":
+        raise ValueError(f"unknown store {kind}")
+    return SnapshotStore(spark, root)

@@ -513,3 +513,8 @@ _PACKED = 400
 def _(spark, d):
     start = spark.createDataFrame([(1, "nation:3", 1), (1, "supplier:5", 2)], "qid int, id string, ord int")
     return rank.seeded_pack(*X.graph(spark, d), start, _PACKED).select("id", "rank")
+
+
+@query("f03_naming_groups", f"WITH {X.PART_FILES_SQL}, b AS (SELECT path, lower(split_part(list_last(string_split(path, '/')), '.', 1)) AS base, regexp_replace(path, '/?[^/]*$', '') AS dir FROM part_files) SELECT base, count(*) AS files, count(DISTINCT dir) AS folders, min(path) AS first, max(path) AS last FROM b WHERE base NOT IN ('__init__', 'setup', 'conftest', 'index') GROUP BY base HAVING count(DISTINCT dir) > 1")
+def _(spark, d):
+    return enrich.naming_groups(X.part_files(spark, d))

@@ -244,3 +244,23 @@ def _(spark, d):
     """Sessions close when the watermark passes them; as the source ends, the batch form of the same plan gives all."""
     found = stream.sessions(events(spark, d), "6 hours")
     return found.select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+@query("k06_exposition", f"SELECT 'weftgraph_counter_' || name || ' ' || value AS line FROM ({_COUNTERS}) UNION ALL SELECT 'weftgraph_gauge_' || event_type || ' ' || max_by(event_id, event_id) FROM events GROUP BY event_type UNION ALL SELECT 'weftgraph_error_' || event_type || ' ' || count(*) FROM events WHERE value IS NULL GROUP BY event_type")
+def _(spark, d):
+    e = events(spark, d)
+    set_ = runtime.gauges(e.select("event_id", F.col("event_id").alias("value"), "event_type"), "event_type")
+    failed = e.filter("value IS NULL").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    return runtime.exposition(counters(spark, d), set_, failed).select("line")
+
+
+@query("r03_cursor", "SELECT max(event_id) AS cursor FROM events WHERE event_id > 500")
+def _(spark, d):
+    return runtime.cursor_after(events(spark, d), 500)
+
+
+@query("x06_until_first_failure", "WITH f AS (SELECT min(conv_id * 1000 + turn) AS k FROM conversations WHERE turn % 7 = 3 AND conv_id > 5) SELECT conv_id * 1000 + turn AS edit_id, CASE WHEN k IS NULL OR conv_id * 1000 + turn < k THEN 'applied' WHEN conv_id * 1000 + turn = k THEN 'failed' ELSE 'skipped' END AS status FROM conversations, f")
+def _(spark, d):
+    c = X.table(spark, d, "conversations")
+    own = (F.col("conv_id") * 1000 + F.col("turn")).alias("edit_id")
+    return edits.until_first_failure(c.select(own, own.alias("ord"), (~((F.col("turn") % 7 == 3) & (F.col("conv_id") > 5))).alias("current")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftgraph import schema
 from weftgraph.functions import task as K
 from weftgraph.functions import text as T
-from weftgraph.operators import rank
+from weftgraph.operators import rank, resolve
 from weftgraph.plans import fixtures as X
 from weftgraph.plans.registry import query
 from weftgraph.sources import parse, scan
@@ -453,3 +453,41 @@ def _(spark, d):
 @query("p09_calls", f"WITH {_MODULE} SELECT path, 'helper' AS call FROM m")
 def _(spark, d):
     return parse.with_parsed(modules(spark, d)).select("path", F.explode("parsed.calls").alias("call"))
+
+
+@query("p02_decorators", f"WITH {_MODULE} SELECT path AS file_path, 'f_' || n AS name, 'b,c' AS decorators FROM m")
+def _(spark, d):
+    p = X.table(spark, d, "part")
+    name = F.regexp_replace("p_name", "[^A-Za-z0-9]+", "_")
+    text = F.concat(F.lit("@a.b\n@c(1)\ndef f_"), name, F.lit("():\n    pass\n"))
+    files = p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    return parse.symbols(parse.with_parsed(files)).select("file_path", "name", F.array_join("decorators", ",").alias("decorators"))
+
+
+@query("p11_toml_keys", "SELECT p_partkey || '.toml' AS path, unnest(['name', 'more', 'more.size', 'more.kind', 'more.kind.brand']) AS key FROM part")
+def _(spark, d):
+    p = X.table(spark, d, "part")
+    text = F.concat(F.lit("name = '"), F.col("p_name"), F.lit("'\n[more]\nsize = "), F.col("p_size").cast("string"), F.lit("\n[more.kind]\nbrand = \""), F.col("p_brand"), F.lit("\"\n"))
+    files = p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".toml")).alias("path"), F.lit(".toml").alias("extension"), text.alias("text"))
+    return parse.structured_keys(files).select("path", F.explode("keys").alias("key"))
+
+
+_LINES_OF = "(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + CASE WHEN length(coalesce(text, '')) > 0 AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END)"
+
+
+@query("p12_generic_elements", f"{W} SELECT sha256(sha256(lower(path)) || ':text:' || path || ':1') AS element_id, path, greatest(1, {_LINES_OF})::BIGINT AS line_end, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(coalesce(text, ''), 500) END AS text, CASE WHEN doc_id % 3 = 0 THEN 'binary' ELSE 'generic' END AS parser, CASE WHEN doc_id % 3 = 0 THEN 0.2::DOUBLE ELSE 0.35::DOUBLE END AS confidence FROM files")
+def _(spark, d):
+    f = X.files(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    f = f.withColumns({"lines_count": scan.lines_count(F.col("text")), "is_binary": F.col("doc_id") % 3 == 0})
+    return parse.generic_elements(f).select("element_id", "path", "line_end", "text", "parser", "confidence")
+
+
+@query("p13_capped_text", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 2048 THEN '' ELSE text END AS text FROM documents")
+def _(spark, d):
+    docs = X.table(spark, d, "documents")
+    return docs.select("doc_id", parse.capped_text(F.col("text"), F.octet_length("text"), 2).alias("text"))
+
+
+@query("c04_relativize", f"{W} SELECT path, CASE WHEN starts_with('/' || path, '/src1/') THEN substr(path, 6) ELSE '/' || path END AS relative FROM files")
+def _(spark, d):
+    return X.files(spark, d).select("path", resolve.relativize(F.concat(F.lit("/"), "path"), "/src1").alias("relative"))

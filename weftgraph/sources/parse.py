@@ -178,6 +178,27 @@ def href_imports(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return pages.select(id_col, F.explode(F.regexp_extract_all(html_col, F.lit(HREF), F.lit(1))).alias("target"))
 
 
+SHOWN = 500  # characters of a file without a parser that its element holds
+MAX_KB = 2048
+
+
+def capped_text(text: Column, size_bytes: Column, max_kb: int = MAX_KB) -> Column:
+    """A file's text as a parser gets it: empty beyond the cap."""
+    return F.when(size_bytes > max_kb * 1024, "").otherwise(text)
+
+
+def generic_elements(files: DataFrame) -> DataFrame:
+    """(element_id, path, name, kind, line_start, line_end, text, parser, confidence): the one element of a file
+    (path, text, lines_count, is_binary) that no parser reads: its first characters, or none of a binary file."""
+    binary, file = F.coalesce("is_binary", F.lit(False)), schema.scanned_file_id(F.col("path"))
+    return files.select(
+        F.sha2(F.concat(file, F.lit(":text:"), "path", F.lit(":1")), 256).alias("element_id"), "path", F.col("path").alias("name"), F.lit("TEXT_BLOCK").alias("kind"),
+        F.lit(1).alias("line_start"), F.greatest(F.lit(1).cast("long"), F.coalesce("lines_count", F.lit(1).cast("long"))).alias("line_end"),
+        F.when(binary, "").otherwise(F.left(F.coalesce("text", F.lit("")), F.lit(SHOWN))).alias("text"), F.when(binary, "binary").otherwise("generic").alias("parser"),
+        F.when(binary, 0.2).otherwise(0.35).alias("confidence"),
+    )
+
+
 def strip_quotes(target: Column) -> Column:
     """The last word of an import statement without one layer of quotes or brackets."""
     last = F.element_at(F.split(F.trim(F.regexp_replace(target, r"[;)]+\s*$", "")), r"\s+"), -1)

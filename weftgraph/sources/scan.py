@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Iterator
-from datetime import datetime, timezone
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.staging import stage
+
 # Folders and endings that are ignored, languages and categories by ending.
 IGNORED_DIRS = (
     ".git", "__pycache__", "node_modules", "dist", "build", ".venv", "venv", "env", ".mypy_cache", ".ruff_cache", ".eggs", "*.egg-info",
@@ -35,7 +37,6 @@ CATEGORIES = (
     ("system", ".dockerfile .sh .bash .zsh .ps1 .tf .proto"),
 )
 PROBED = 8192  # bytes that decide whether a file is binary
-MAX_KB = 1024
 
 
 def extension(path: Column) -> Column:
@@ -99,70 +100,133 @@ def lines_count(text: Column) -> Column:
     return (breaks + F.when((F.length(text) > 0) & (F.right(text, F.lit(1)) != "\n"), 1).otherwise(0)).cast("long")
 
 
-def _skipped_by_spark(spark: SparkSession, root: str) -> list[tuple[str, int, float]]:
-    """(uri, size, time) of files that Spark's listing leaves out: names that begin with an underscore, and
-    all below folders so named. Found by globs, level by level, without visiting other files."""
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found, level = [], root.rstrip("/")
-    while True:
-        for status in fs.globStatus(Path(f"{level}/_*")) or []:
-            if status.isFile():
-                found.append(status)
-            else:
-                inner = fs.listFiles(status.getPath(), True)
-                while inner.hasNext():
-                    found.append(inner.next())
-        if not fs.globStatus(Path(f"{level}/*/*")):
-            return [(s.getPath().toString(), s.getLen(), s.getModificationTime() / 1000) for s in found]
-        level += "/*"
-
-
-def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads files on the executors by their addresses."""
+LISTING = "at string, path string, is_dir boolean, is_symlink boolean, size_bytes long, modified_at timestamp, error string"
+_ENTRIES = 20_000  # that a task lists below one folder before it hands the folders left to others
+
+
+def _system(root: str):
+    """The file system and the path in it of a root's address."""
     from pyarrow import fs as arrow_fs
 
-    for f in frames:
-        data = []
-        for uri in f["uri"]:
-            system, at = arrow_fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-            with system.open_input_stream(at) as stream:
-                data.append(stream.read())
-        yield f.assign(content=data)
+    root = root if "://" in root else re.sub("^(file:)?/*", "file:///", root)
+    return arrow_fs.FileSystem.from_uri(quote(unquote(root), safe=":/@"))
+
+
+def _lister(root: str, ignored: tuple[str, ...]):
+    """Lists folders (at) on the executors, into their own folders up to a number of entries; what is then
+    left, and folders that can't be read, are rows."""
+    shown = frozenset(ignored)
+
+    def pruned(name: str) -> bool:
+        return name.startswith(".") or any(fnmatch.fnmatch(name, g) for g in shown)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        system, base = _system(root)
+        local = isinstance(system, arrow_fs.LocalFileSystem)
+        for f in frames:
+            for start in f["at"]:
+                rows, todo = [], [start]
+                while todo and len(rows) < _ENTRIES:
+                    folder = todo.pop()
+                    try:
+                        found = system.get_file_info(arrow_fs.FileSelector(folder))
+                    except OSError as e:
+                        rows.append((folder, folder[len(base) :].strip("/"), True, False, 0, None, f"{type(e).__name__}: {e}"))
+                        continue
+                    for x in found:
+                        link = local and os.path.islink(x.path)
+                        is_dir = x.type == arrow_fs.FileType.Directory
+                        if is_dir and pruned(x.base_name):
+                            continue
+                        if is_dir and not link:
+                            todo.append(x.path)
+                        else:
+                            rows.append((x.path, x.path[len(base) :].strip("/"), is_dir, link, x.size or 0, x.mtime, None))
+                rows += [(x, x[len(base) :].strip("/"), True, False, 0, None, None) for x in todo]
+                out = pd.DataFrame(rows, columns=[c.split()[0] for c in LISTING.split(", ")])
+                out["modified_at"] = pd.to_datetime(out["modified_at"], utc=True)
+                yield out
+
+    return each
+
+
+def list_tree(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED_DIRS) -> DataFrame:
+    """(at, path, is_dir, is_symlink, size_bytes, modified_at, error) of all below a root but hidden and ignored
+    folders; nothing is opened. Executors list: folders that a task has no time for are dealt out in the next
+    round. Links to folders are rows and not followed, so there are no cycles; folders that can't be read are error rows."""
+    start = _system(root)[1]
+    frontier, found = spark.createDataFrame([(start,)], "at string"), None
+    while True:
+        listed = stage(frontier.mapInPandas(_lister(root, ignored), LISTING), "listing")
+        left = F.col("is_dir") & ~F.col("is_symlink") & F.col("error").isNull()
+        found = listed.filter(~left) if found is None else found.unionByName(listed.filter(~left))
+        n = listed.filter(left).count()
+        if not n:
+            return found
+        frontier = listed.filter(left).select("at").repartition(max(1, min(n, 4096)))
+
+
+def with_content(files: DataFrame, root: str, max_kb: int | None = None) -> DataFrame:
+    """Adds content to listed files; one that can't be read, or is larger than the cap, has none and an error."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = _system(root)
+        for f in frames:
+            data, errors = [], []
+            for at, size in zip(f["at"], f["size_bytes"], strict=True):
+                content, error = None, None
+                if max_kb and size > max_kb * 1024:
+                    error = f"larger than {max_kb} KB"
+                else:
+                    try:
+                        with system.open_input_stream(at) as stream:
+                            content = stream.read()
+                    except OSError as e:
+                        error = f"{type(e).__name__}: {e}"
+                data.append(content)
+                errors.append(error)
+            yield f.assign(content=data, error=errors)
+
+    return files.mapInPandas(each, f"{LISTING}, content binary")
+
+
+def scannable(listing: DataFrame, extensions: list[str] | None = None, globs: tuple[str, ...] = ()) -> DataFrame:
+    """The files of a listing that are not hidden or ignored, of some endings if these are given."""
+    files = listing.filter(~F.col("is_dir") & F.col("error").isNull())
+    if extensions:
+        files = files.filter(extension(F.col("path")).isin(*extensions))
+    return files.filter(~F.exists(F.split("path", "/"), lambda p: p.startswith(".") & (p != ".gitignore")) & ~is_ignored(F.col("path"), globs))
 
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, globs: tuple[str, ...] = (), max_kb: int | None = None) -> DataFrame:
-    """Files below a root: path relative to it, size, time, content.
-
-    Size and time filters reach the source, which lists files without opening them. Spark's listing
-    leaves out names that begin with an underscore, and its reader files without content; both
-    are added, for sources have many of the first, such as package markers.
-    """
-    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    files = source.select(F.col("path").alias("uri"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
-    schema = "uri string, size_bytes long, modified_at timestamp"
-    skipped = spark.createDataFrame([(u, n, datetime.fromtimestamp(t, timezone.utc)) for u, n, t in _skipped_by_spark(spark, root)], schema)
-    skipped = skipped.repartition(max(1, min(256, skipped.count() // 64))).mapInPandas(_contents, f"{schema}, content binary")
-    listed = spark.createDataFrame([(unquote(p),) for p in source.inputFiles()], "uri string")
-    plain = F.regexp_replace("uri", "^[^/:]+:/*", "")  # a listing writes three slashes where rows have one
-    empty = listed.withColumn("_p", plain).join(source.select(F.col("path").alias("uri")).select(plain.alias("_p")), "_p", "left_anti")
-    empty = empty.select("uri", F.lit(0).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_at"), F.lit("").cast("binary").alias("content"))
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().split(":", 1)[-1].strip("/")
-    path = F.substr(plain, F.lit(len(base) + 2 if base else 1))
-    files = files.unionByName(skipped).unionByName(empty).select(path.alias("path"), "size_bytes", "modified_at", "content")
+    """Files below a root: path relative to it, size, time, content, error. Sizes and names are looked at
+    before files are opened."""
+    files = scannable(list_tree(spark, root), extensions, globs)
     if max_kb:
         files = files.filter(F.col("size_bytes") <= max_kb * 1024)
-    if extensions:
-        files = files.filter(extension(F.col("path")).isin(*extensions))
-    return files.filter(~F.exists(F.split("path", "/"), lambda p: p.startswith(".") & (p != ".gitignore")) & ~is_ignored(F.col("path"), globs))
+    spread = files.repartition(max(1, min(4096, files.count() // 64)))
+    return with_content(spread, root).select("path", "size_bytes", "modified_at", "content", "error")
+
+
+def ignore_file(spark: SparkSession, root: str, name: str = ".gitignore", most: int = 1 << 20) -> tuple[str, ...]:
+    """The globs of the ignore file at a root; none if there is none, or none that a person wrote by its size."""
+    from pyarrow import fs as arrow_fs
+
+    system, base = _system(root)
+    found = system.get_file_info(f"{base.rstrip('/')}/{name}")
+    if found.type != arrow_fs.FileType.File or found.size > most:
+        return ()
+    with system.open_input_stream(found.path) as stream:
+        return ignore_rules(stream.read().decode("utf-8", "replace"))
 
 
 def describe(files: DataFrame) -> DataFrame:
     """Adds name, extension, language, category, hash_value, is_hidden, is_binary, encoding, text, lines_count."""
     ext, binary = extension(F.col("path")), is_binary(F.col("content"))
     valid = F.expr("is_valid_utf8(CAST(content AS STRING))")
-    text = F.when(binary, "").when(valid, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    text = F.when(binary, "").when(F.col("content").isNull(), F.lit(None)).when(valid, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select(
         "*", F.element_at(F.split("path", "/"), -1).alias("name"), ext.alias("extension"), language(ext).alias("language"), category(ext).alias("category"),
         F.sha2("content", 256).alias("hash_value"), is_hidden(F.col("path")).alias("is_hidden"), binary.alias("is_binary"),
