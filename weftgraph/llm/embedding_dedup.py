@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import connected_components, stage
+from weftgraph.llm.common import connected_components, join_hot, stage
 
 COSINE = 0.95
 BLOCK = 4_096  # most vectors of a block, on average
@@ -101,11 +101,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     distinct = rows.filter("good").groupBy("h1", "h2").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("times"), F.min("id").alias("least"))
     distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", (F.length("v") / 8).cast("int")), "distinct")
 
-    pivots, totals = {}, {r.dim: r["count"] for r in distinct.groupBy("dim").count().collect()}
-    for dim, n in totals.items():
-        k = min(PIVOTS, -(-n // block))
-        sample = distinct.filter(F.col("dim") == dim).orderBy("h1", "h2").limit(SAMPLE if k > 1 else 1).select("v").toPandas()
-        pivots[dim] = choose_pivots(_unit(sample["v"].tolist()), k)
+    firsts = distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2", "v")).alias("first")).collect()  # a row for each length
+    pivots = {r.dim: choose_pivots(_unit([r.first.v]), 1) for r in firsts}
+    for dim, n in ((r.dim, r.n) for r in firsts if r.n > block):
+        sample = distinct.filter(F.col("dim") == dim).orderBy("h1", "h2").limit(SAMPLE).select("v").toPandas()
+        pivots[dim] = choose_pivots(_unit(sample["v"].tolist()), min(PIVOTS, -(-n // block)))
 
     def homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -173,9 +173,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     least = members.join(distinct.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
     members = members.join(least, "root").select("node", "component")
     of = distinct.select("node", "h1", "h2", "times", "least").join(counts, "node", "left").join(members, "node", "left")
-    of = of.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
-    joined = rows.filter("good").join(of, ["h1", "h2"]).select("id", "n_links", "component_id")
+    of = of.select("h1", "h2", "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "least").alias("component_id"))
+    of, same = stage(of, "of"), rows.filter("good")
+    joined = join_hot(same, of, ["h1", "h2"], "times", same.count()).select("id", "n_links", "component_id")
     single = rows.filter("NOT good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return joined.union(single).select(
-        F.col("id").alias(id_col), "n_links", F.col("component_id").cast("long"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    return joined.union(single).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

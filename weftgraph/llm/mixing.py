@@ -88,6 +88,8 @@ def mix(
         F.xxhash64(text).alias("_hash"),
     )
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("_id").asc_nulls_first(), F.col("_hash").asc()]
+    if keep:  # without texts it costs less to write the rows than to count words again where ranges are sampled
+        rows = stage(rows, "mixslim")
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
     rows = stage(rows.drop("_id", "_hash").withColumn("_at", place), "mix")

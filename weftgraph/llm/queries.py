@@ -46,7 +46,8 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("component_id", F.col("component_id").cast("long"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

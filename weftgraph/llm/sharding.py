@@ -39,13 +39,13 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """Shard of any key column."""
+    """Shard of any key column; a key counts as it is written, so its type does not matter."""
 
     @F.pandas_udf("int")
     def place(hashed: pd.Series) -> pd.Series:
         return pd.Series(jump(hashed.to_numpy(np.int64).view(np.uint64), shards))
 
-    return place(F.xxhash64(key))
+    return place(F.xxhash64(key.cast("string")))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
