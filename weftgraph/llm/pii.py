@@ -71,7 +71,6 @@ _UPPER = "".join(c for c in map(chr, range(0x41, 0x2000)) if c.isupper())
 _CAPITAL = rf"(?:[{_UPPER}][^\W\d_]+(?:[-'’][{_UPPER}]?[^\W\d_]+)?)"
 _LISTED = "|".join(_BY_NAME)
 _INTRODUCED = re.compile(rf"(?:{'|'.join(map(re.escape, INTRODUCTIONS))})[ \t]*\n?[ \t]*(?P<name>{_CAPITAL}(?: {_CAPITAL}){{1,2}})(?![^\W_])")
-_INTRODUCTION_CLUE = re.compile(r"name|Name|nom|signed|Signed|egards,|incerely,|heiße|appelle|llamo|зовут|λένε|called|Grüßen,|Cordialement,|Atentamente,")
 _NAME = re.compile(
     rf"\b(?:(?:(?:{'|'.join(HONORIFICS)})\b\.? )+(?P<titled>{_CAPITAL}(?: {_CAPITAL}){{0,2}})|(?P<listed>(?:{_LISTED})(?: (?:{_LISTED}))*) (?P<family>{_CAPITAL}))\b"
 )
@@ -431,7 +430,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     names = []
     if not _CLUES.isdisjoint(_WORDS.findall(text)):
         names = [m["titled"] or f"{m['listed']} {m['family']}" for m in _NAME.finditer(text)]
-    if _INTRODUCTION_CLUE.search(text):
+    if any(phrase in text for phrase in INTRODUCTIONS):
         names += [m["name"] for m in _INTRODUCED.finditer(text)]
     parts: dict[str, str] = {}
     for name in names:
