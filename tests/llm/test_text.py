@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftgraph.llm import fingerprints, html_extract, html_training, langid, mixing, pii, simhash_dedup, url_filter
+from weftgraph.llm import fingerprints, html_extract, html_training, langid, mixing, pii, shingle_dedup, simhash_dedup, url_filter
 from weftgraph.llm.html_dom import parse
 from weftgraph.llm.queries import QUERIES
 
@@ -290,7 +290,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "language_id":
             assert ids(kept) == [x for x in ids(before) if x not in (1000, 1001)]
         if name == "simhash_dedup":
-            found = simhash_dedup.near_duplicates(before).collect()
+            found = shingle_dedup.near_duplicates(before).collect()  # checked against all pairs in test_shingle_dedup
             assert ids(kept) == sorted({r.component if r.component is not None else -1 for r in found})
         if name == "pii":
             assert ids(kept) == ids(before) and not kept.filter("text LIKE '%the.24@mail4.example.com%'").count()
