@@ -68,18 +68,19 @@ class Repository:
         broken = read.filter("error IS NOT NULL").select("path", "error").unionByName(listing.filter("error IS NOT NULL").select("path", "error"))
         fresh = read.filter("error IS NULL").drop("error", "at", "is_dir", "is_symlink")
         if kept["files"] is None:
-            files, before = fresh, fresh.limit(0)
+            files, before = fresh, self.spark.createDataFrame([], fresh.schema)
         else:
             # a folder that can't be read keeps its files
             before = kept["files"]
             lost = listing.filter("is_dir AND error IS NOT NULL").select(F.concat("path", F.lit("/")).alias("_folder"))
             there = listed.select("path").union(before.join(lost, F.col("path").startswith(F.col("_folder")), "left_semi").select("path"))
             files = before.join(there, "path", "left_semi").join(fresh.select("path"), "path", "left_anti").unionByName(fresh.select(*before.columns))
-        files = stage(files, "files")
-        change = stage(scan.changes(before, files), "changes")
+        # the texts themselves are written by the commit alone
+        known = stage(files.drop("text"), "files")
+        change = stage(scan.changes(before, known), "changes")
         counts = {r.change: r["count"] for r in change.groupBy("change").count().collect()}
         touched = change.filter("change <> 'unchanged'").select("path")
-        todo = files.join(change.filter("change IN ('added', 'changed')"), "path", "left_semi")
+        todo = fresh.join(change.filter("change IN ('added', 'changed')"), "path", "left_semi")
         parsed = parse.with_parsed(todo.select("path", "language", "text")).select("path", "parsed")
         terms = rank.file_terms(todo.select(schema.file_id(F.col("path")).alias("id"), "path", "text"))
         if kept["parsed"] is not None:
@@ -87,7 +88,7 @@ class Repository:
             terms = terms.unionByName(kept["terms"].join(touched.select(schema.file_id(F.col("path")).alias("id")), "id", "left_anti"))
         parsed = stage(parsed, "parsed")
         failed = parsed.filter("parsed.confidence <= 0.2").select("path", F.element_at("parsed.errors", 1).alias("error"))
-        nodes, edges = self._graph(files, parsed)
+        nodes, edges = self._graph(known, parsed)
         terms = terms.repartitionByRange("term").sortWithinPartitions("term")  # so that a reader skips what it does not ask for
         self.store.commit(nodes, edges, {"files": files, "parsed": parsed, "terms": terms, "failures": broken.unionByName(failed)})
         return {k: counts.get(k, 0) for k in ("added", "changed", "unchanged", "deleted")}
@@ -125,12 +126,12 @@ class Repository:
         files, terms = self.store.table("files", version), self.store.table("terms", version)
         ids = files.select(schema.file_id(F.col("path")).alias("id"))
         others = nodes.filter(~F.col("type").isin("FILE", "PATTERN", "CONFLICT"))
-        found = rank.text_match(terms, asked, ids).unionByName(rank.node_match(others, asked))
+        wanted = rank.written_terms(asked)
+        found = rank.text_match(terms, asked, ids, wanted).unionByName(rank.node_match(others, asked, wanted))
         total = ids.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
-        asked_terms = rank.wanted_terms(asked).select("term").distinct()
-        frequency = rank.document_frequency(terms.join(as_few(asked_terms, asked), "term", "left_semi"))
-        named = rank.name_answers(nodes, frequency, asked, total).withColumn("answers", F.lit(True))
-        exact = rank.exact_symbols(nodes, asked).withColumn("exact", F.lit(True))
+        frequency = rank.document_frequency(terms.join(as_few(wanted.select("term").distinct(), wanted), "term", "left_semi"))
+        named = rank.name_answers(nodes, frequency, asked, total, wanted).withColumn("answers", F.lit(True))
+        exact = rank.exact_symbols(nodes, asked, wanted).withColumn("exact", F.lit(True))
         match = found.join(named, ["qid", "id"], "full_outer").select("qid", "id", F.coalesce("match", F.lit(0.0)).alias("match"), F.coalesce("answers", F.lit(False)).alias("answers"))
         if expand:
             start = rank.seeds(nodes, lookups.name_tokens(nodes), asked.select("qid", F.col("terms").alias("words"), "scope"))

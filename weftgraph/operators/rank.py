@@ -78,14 +78,19 @@ def wanted_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(F.transform(parts, T.stem))).alias("term"))
 
 
-def text_match(terms: DataFrame, questions: DataFrame, files: DataFrame) -> DataFrame:
+def written_terms(questions: DataFrame) -> DataFrame:
+    """``wanted_terms``, written once and counted, for the functions below, which else make it each."""
+    return counted(wanted_terms(questions), "wanted")
+
+
+def text_match(terms: DataFrame, questions: DataFrame, files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(qid, id, match): part of a question's inverse document frequencies that a file's terms cover.
 
     files: any table with a row for each file, to be counted. The postings of the words asked for are
     written once; frequencies and matches are taken from them.
     """
     total = files.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("files"))
-    wanted = counted(wanted_terms(questions), "wanted")
+    wanted = wanted if wanted is not None else written_terms(questions)
     hits = stage(terms.join(as_few(wanted.select("term").distinct(), wanted), "term", "left_semi"), "postings")
     weights = wanted.join(document_frequency(hits), "term", "left").crossJoin(F.broadcast(total))
     weights = weights.select("qid", "term", idf(F.col("df"), F.col("files")).alias("w"))
@@ -94,10 +99,10 @@ def text_match(terms: DataFrame, questions: DataFrame, files: DataFrame) -> Data
     return found.join(as_few(most, wanted), "qid").select("qid", "id", F.least(F.lit(1.0), F.col("w") / F.col("most")).alias("match"))
 
 
-def name_answers(nodes: DataFrame, frequency: DataFrame, questions: DataFrame, files: int | Column) -> DataFrame:
+def name_answers(nodes: DataFrame, frequency: DataFrame, questions: DataFrame, files: int | Column, wanted: DataFrame | None = None) -> DataFrame:
     """(qid, id) of nodes whose own name answers: it holds the one word asked for, all of them, two of
     them, or one that at most a quarter of the files use."""
-    wanted = counted(wanted_terms(questions), "wanted")
+    wanted = wanted if wanted is not None else written_terms(questions)
     asked = as_few(wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("asked")), wanted)
     names = nodes.select("id", F.explode(F.array_distinct(F.transform(T.name_parts(F.regexp_replace("name", r"\.py", "")), T.stem))).alias("term"))
     met = names.join(wanted, "term").join(frequency, "term", "left").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("df", F.lit(0))).alias("rarest"))
@@ -106,24 +111,25 @@ def name_answers(nodes: DataFrame, frequency: DataFrame, questions: DataFrame, f
     return met.join(asked, "qid").filter(answers).select("qid", "id")
 
 
-def node_match(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+def node_match(nodes: DataFrame, questions: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(qid, id, match) of nodes (id, name, metadata) without terms of their own: the part of a question's
     terms, weighted by their length, that stand in the node's name or in values of its metadata. Nodes are
     tested against the different terms of all questions, and hits are joined with the questions by term."""
-    wanted = counted(wanted_terms(questions).withColumn("w", 1 + F.least(F.length("term"), F.lit(12)) / 12.0), "wanted", NODE_TERMS)
-    most = as_few(wanted.groupBy("qid").agg(F.sum("w").alias("most")), wanted)
+    table = wanted if wanted is not None else written_terms(questions)
+    wanted = table.withColumn("w", 1 + F.least(F.length("term"), F.lit(12)) / 12.0)
+    most = as_few(wanted.groupBy("qid").agg(F.sum("w").alias("most")), table)
     values = F.regexp_replace(F.coalesce("metadata", F.lit("")), r'"[^"]*"\s*:', "")
     text = nodes.select("id", F.lower(F.concat_ws(" ", "name", values)).alias("_text"))
-    hits = text.join(as_few(wanted.select("term").distinct(), wanted), F.col("_text").contains(F.col("term"))).select("id", "term")
+    hits = text.join(as_few(wanted.select("term").distinct(), table, NODE_TERMS), F.col("_text").contains(F.col("term"))).select("id", "term")
     found = hits.join(wanted, "term").groupBy("qid", "id").agg(F.sum("w").alias("w"))
     return found.join(most, "qid").select("qid", "id", (F.col("w") / F.col("most")).alias("match"))
 
 
-def exact_symbols(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+def exact_symbols(nodes: DataFrame, questions: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Questions (qid) whose words are exactly some function's or class's name."""
     symbols = nodes.filter(F.col("type").isin("FUNCTION", "CLASS"))
     key = symbols.select(F.array_join(F.array_sort(F.array_distinct(F.transform(T.name_parts(F.col("name")), T.stem))), " ").alias("key"))
-    asked = wanted_terms(questions).groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("key"))
+    asked = (wanted if wanted is not None else wanted_terms(questions)).groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("key"))
     return asked.join(key, "key", "left_semi").select("qid")
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,8 +202,10 @@ class SnapshotStore:
         found = self._pointers()
         number, name = found[-1][0] + 1 if found else 1, f"v{uuid.uuid4().hex}"
         every = {"nodes": nodes.select(*[c.split()[0] for c in schema.NODES.split(", ")]), "edges": edges.select(*[c.split()[0] for c in schema.EDGES.split(", ")])}
-        for table, rows in (every | (tables or {})).items():
-            rows.write.parquet(f"{self.root}/{name}/{table}")
+        every |= tables or {}
+        with ThreadPoolExecutor(len(every)) as pool:  # jobs of their own, so that small tables don't wait for large ones
+            put, inherit = lambda table: every[table].write.parquet(f"{self.root}/{name}/{table}"), inheritable_thread_target(self.spark)
+            list(pool.map(put if inherit is self.spark else inherit(put), every))
         claim = self._path(f"{self.root}/CLAIM-{number:012d}")
         try:
             self._fs.create(claim, False).close()

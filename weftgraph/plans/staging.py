@@ -51,15 +51,15 @@ BROADCAST_ROWS = 200_000
 def counted(df: DataFrame, tag: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table of slim rows, hinted for a broadcast if it has few of them by count; else its joins shuffle."""
     table = stage(df, tag)
-    few = table.count() <= bound
-    out = F.broadcast(table) if few else table
-    out._staged, out._few = table._staged, few
+    rows = table.count()
+    out = F.broadcast(table) if rows <= bound else table
+    out._staged, out._rows, out._bound = table._staged, rows, bound
     return out
 
 
-def as_few(df: DataFrame, as_: DataFrame) -> DataFrame:
+def as_few(df: DataFrame, as_: DataFrame, bound: int | None = None) -> DataFrame:
     """Hints a broadcast of df, which has no more rows than a counted table, if that one is small."""
-    return F.broadcast(df) if as_._few else df
+    return F.broadcast(df) if as_._rows <= (as_._bound if bound is None else bound) else df
 
 
 def exists(table: DataFrame) -> bool:
