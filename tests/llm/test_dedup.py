@@ -79,6 +79,21 @@ def test_tree_finds_all_pairs(spark, spread):
         assert components(len(fps), [(at[e.a], at[e.b]) for e in edges]) == components(len(fps), list(zip(i.tolist(), j.tolist())))
 
 
+@pytest.mark.parametrize("spread, most, piece", [(64, 64, 100), (7, 64, 100), (7, 40, 10_000)])
+def test_large_leaves_get_trees_of_their_own(spark, monkeypatch, spread, most, piece):
+    """A small sample for the driver's tree leaves large leaves, which are split again on the executors."""
+    rng = np.random.default_rng(spread)
+    flips = (rng.random((1500, 64)) < spread / 128) * rng.integers(0, 2, (1500, 64))
+    fps = np.unique(np.packbits(flips.astype(np.uint8), axis=1).view(np.uint64).ravel())
+    df, rounds, plain = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), [], simhash_dedup._grown
+    monkeypatch.setattr(simhash_dedup, "_grown", lambda rows, *a: rounds.append(rows.count()) or plain(rows, *a))
+    edges = simhash_dedup.links(df, len(fps), cell=30, block=25, most=most, piece=piece).collect()
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2)
+    assert components(len(fps), [(at[e.a], at[e.b]) for e in edges]) == components(len(fps), list(zip(i.tolist(), j.tolist())))
+    assert rounds and rounds[0] > 100
+
+
 def test_edges_of_simhash(spark):
     long = "word " * 40_000 + "end"
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, long), (6, long), (None, "one two"), (7, "É é"), (8, "é é")]

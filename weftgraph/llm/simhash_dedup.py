@@ -10,6 +10,7 @@ are returned untouched by ``keep_one``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import connected_components, join_hot, small_batches, stage
+from weftgraph.llm.common import broadcast_if_small, connected_components, join_hot, small_batches, stage
 
 WORDS = 3  # words of a shingle
 RADIUS = 2  # bits in which linked fingerprints may differ
@@ -27,6 +28,8 @@ SEED = 42
 SAMPLE = 32_768  # fingerprints from which the routing tree is built
 CELL = 512  # fingerprints wanted in a leaf of the tree
 BLOCK = 2_048  # a leaf beyond this is compared in blocks of at most this size
+DEEP = 4  # a leaf of more blocks than this gets a tree of its own
+PIECE = 65_536  # rows of such a leaf that a task routes at a time
 LEAVES = 65_536  # bound of the broadcast tree
 _CHUNK = 8_192  # shingles whose bits are counted at a time
 
@@ -145,10 +148,63 @@ def local_roots(fps: np.ndarray, side: np.ndarray, radius: int = RADIUS) -> np.n
     return roots
 
 
-def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def _grown(rows: DataFrame, sizes: DataFrame, radius: int, cell: int, sample: int, piece: int) -> DataFrame:
+    """(leaf, fp, n_before, split): the rows (leaf, fp) of large leaves, each routed through a tree of its leaf,
+    which a task grows from a sample of the leaf; rows are routed in pieces, so that no task holds a leaf.
+    split is false where a tree has only its root. sizes: leaf, n."""
+
+    def tree_of(f: pd.DataFrame) -> pd.DataFrame:
+        nodes = build_tree(np.sort(f["fp"].to_numpy(np.int64)).view(np.uint64), int(f["n"].iloc[0]), radius, cell)
+        plain = [(None if v is None else int(v), t, inner, outer) for v, t, inner, outer in nodes]
+        return pd.DataFrame({"leaf": f["leaf"].iloc[:1], "n": f["n"].iloc[:1], "tree": [json.dumps(plain)]})
+
+    def through(own: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        nodes = [(None if v is None else np.uint64(v), t, i, o) for v, t, i, o in json.loads(tree["tree"].iloc[0])] if len(tree) else [(None, 0, -1, -1)]
+        fps = own["fp"].to_numpy(np.int64)
+        i, at = route(fps.view(np.uint64), nodes, radius)
+        return pd.DataFrame({"leaf": own["leaf"].to_numpy()[i], "node": at, "fp": fps[i], "n_before": own["n"].to_numpy()[i], "split": len(nodes) > 1})
+
+    sized = rows.join(broadcast_if_small(sizes, sizes.count()), "leaf")
+    picked = sized.filter(F.pmod(F.xxhash64("fp", F.lit(17)), F.col("n")) < sample)  # fingerprints of a leaf are different
+    trees = picked.groupBy("leaf").applyInPandas(tree_of, "leaf long, n long, tree string")
+    pieces = F.ceil(F.col("n") / piece).cast("long")
+    trees = trees.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"), "tree")
+    sized = sized.withColumn("piece", F.pmod(F.xxhash64("fp", F.lit(23)), pieces))
+    routed = sized.groupBy("leaf", "piece").cogroup(trees.groupBy("leaf", "piece")).applyInPandas(through, "leaf long, node long, fp long, n_before long, split boolean")
+    return routed.select(F.xxhash64("leaf", "node").alias("leaf"), "fp", "n_before", "split")
+
+
+def _deep_cells(rows: DataFrame, radius: int, cell: int, block: int, sample: int = SAMPLE, piece: int = PIECE) -> DataFrame:
+    """(leaf, lo, hi, side, fp): the cells of large leaves (leaf, fp). Leaves that are still large after
+    they were split are split again, until they are small or their fingerprints lie too close to be told apart
+    by a vantage point; these are compared in blocks. Two leaves under one hashed name are only compared more."""
+    done = None
+    while True:
+        sizes = stage(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "deepsizes")
+        grown = stage(_grown(rows, sizes, radius, cell, sample, piece), "deep")
+        after = grown.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("n_before").alias("n_before"), F.max("split").alias("split"))
+        again = F.col("split") & (F.col("n") > DEEP * block) & (F.col("n") < 0.95 * F.col("n_before"))
+        after = stage(after.select("leaf", "n", again.alias("again")), "deepsizes")
+        few = broadcast_if_small(after, after.count())
+        s = F.ceil(F.col("n") / block).cast("long")
+        own = F.pmod(F.xxhash64("fp", F.lit(29)), s)
+        ready = grown.join(few.filter(~F.col("again")), "leaf").select("leaf", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), s - 1)).alias("other"))
+        ready = ready.select("leaf", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp")
+        side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("own") == F.col("hi")).cast("int"))
+        ready = ready.select("leaf", "lo", "hi", side.alias("side"), "fp")
+        done = ready if done is None else done.unionByName(ready)
+        if after.filter("again").isEmpty():
+            return done
+        rows = grown.join(few.filter("again").select("leaf"), "leaf", "left_semi").select("leaf", "fp")
+
+
+def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, block: int = BLOCK, most: int = SAMPLE, piece: int = PIECE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp long) whose components are those of all pairs
-    within the radius. Each cell gives at most one edge for each of its fingerprints."""
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    within the radius. Each cell gives at most one edge for each of its fingerprints.
+
+    The driver's tree is fitted to a sample of bounded size, so its leaves grow with the corpus; those of
+    many blocks get trees of their own on the executors."""
+    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(most).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = build_tree(sample, total, radius, cell)
 
     def to_leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,13 +217,15 @@ def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, bl
     large = routed.groupBy("leaf").count().filter(F.col("count") > block)
     large = large.select("leaf", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     parts = {r.leaf: r.parts for r in large.collect()}  # at most one row a leaf, and a tree has LEAVES of them
+    deep = np.array(sorted(leaf for leaf, n in parts.items() if n > DEEP), np.int64)
 
     def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A leaf in s blocks becomes s cells of one block and a cell for each two blocks. Routing is done
         again in the same pass, so that a task keeps one Python worker and not two."""
         for f in to_leaves(frames):
+            f = f[~f["leaf"].isin(deep)]
             fp, leaf = f["fp"].to_numpy(np.int64), f["leaf"].to_numpy()
-            s = np.array([parts.get(x, 1) for x in leaf.tolist()])
+            s = np.array([parts.get(x, 1) for x in leaf.tolist()], np.int64)
             mix = fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             own = ((mix >> np.uint64(33)) % s.astype(np.uint64)).astype(np.int64)
             for other in range(s.max(initial=0)):
@@ -176,6 +234,10 @@ def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, bl
                 side = np.where(lo == hi, -1, (own[m] == hi).astype(int))
                 yield pd.DataFrame({"leaf": leaf[m], "lo": lo, "hi": hi, "side": side, "fp": fp[m]})
 
+    def to_deep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in to_leaves(frames):
+            yield f[f["leaf"].isin(deep)]
+
     def in_cell(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("fp")
         own = f["fp"].to_numpy(np.int64)
@@ -184,6 +246,9 @@ def links(fps: DataFrame, total: int, radius: int = RADIUS, cell: int = CELL, bl
         return pd.DataFrame({"a": own[m], "b": own[roots[m]]})
 
     cells = fps.select("fp").mapInPandas(to_cells, "leaf long, lo long, hi long, side int, fp long")
+    if len(deep):
+        rows = stage(fps.select("fp").mapInPandas(to_deep, "leaf long, fp long"), "deep")
+        cells = cells.unionByName(_deep_cells(rows, radius, cell, block, most, piece))
     return cells.groupBy("leaf", "lo", "hi").applyInPandas(in_cell, "a long, b long")
 
 
