@@ -29,7 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose five-word shingles have a similarity of 0.8 or more the document
-    with the smallest id stays. (Radius and three words of `op6_simhash_dedup` bind that query alone.)"""
+    with the smallest id stays. Vantage-point trees over SimHash fingerprints, as in `op6_simhash_dedup`, find
+    pairs first, and an exact join finds the similar pairs beyond their radius. (Radius and three words of
+    that query bind it alone.)"""
     return shingle_dedup.keep_one(docs)
 
 

@@ -69,3 +69,35 @@ def test_edges(spark):
     twice = [(1, "a b c d"), (2, "a b c d"), (2, "e f g h"), (2, "e f g h"), (3, "e f g h"), (None, "i j k"), (None, "l m n")]
     kept = shingle_dedup.keep_one(spark.createDataFrame(twice, "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "i j k"), (0, "l m n"), (1, "a b c d"), (2, "e f g h")]
+
+
+def test_trees_link_all_fingerprints_within_the_radius(spark):
+    rng = np.random.default_rng(8)
+    flips = (rng.random((400, 64)) < 0.05) * rng.integers(0, 2, (400, 64))
+    prints = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64).ravel()  # some of them stand for several sets
+    pairs = [(i, j) for i in range(400) for j in range(i) if ((int(prints[i]) ^ int(prints[j])) & (2**64 - 1)).bit_count() <= 3]
+    sets = spark.createDataFrame([(i, int(x)) for i, x in enumerate(prints)], "fp long, simhash long")
+    found = shingle_dedup.by_trees(sets).collect()
+    assert len(set(prints.tolist())) < 400 and all(r.fp != r.other for r in found)
+    assert components(400, [(r.fp, r.other) for r in found]) == components(400, pairs)
+
+
+def test_fingerprint_of_a_set():
+    own = shingle_dedup.shingles("one two three four five six seven eight nine")
+    assert len(own) == 5 and shingle_dedup.simhash(own[:0]) == 0
+    assert shingle_dedup.simhash(own) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > 5)
+
+
+def test_stage_goes_through_the_trees_first(spark, monkeypatch):
+    """Pairs that the trees link are compared; without the trees the exact join alone gives the same rows."""
+    words = [f"w{k}" for k in range(600)]
+    near = [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in (200, 400)]  # 10 of 601 shingles
+    prints = [shingle_dedup.simhash(shingle_dedup.shingles(t)) for t in (" ".join(words), *near)]
+    assert min((prints[0] ^ p).bit_count() for p in prints[1:]) <= shingle_dedup.RADIUS
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, near[0]), (3, near[1]), (4, "a b c")], "doc_id long, text string")
+    seen, alike = [], shingle_dedup.alike
+    monkeypatch.setattr(shingle_dedup, "alike", lambda pairs, *a: seen.append(pairs.count()) or alike(pairs, *a))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == [1, 4] and seen[0] > 0  # the first pairs to be compared are those of the trees
+    monkeypatch.setattr(shingle_dedup, "by_trees", lambda sets: spark.createDataFrame([], "fp long, other long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == kept

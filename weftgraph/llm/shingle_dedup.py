@@ -1,4 +1,9 @@
-"""Near-duplicate documents by the Jaccard similarity of five-word shingles, exact, by prefix filtering.
+"""Near-duplicate documents by the Jaccard similarity of five-word shingles, exact, by SimHash and prefix filtering.
+
+At first the vantage-point trees of ``simhash_dedup`` join the SimHash fingerprints of the sets of
+shingles; the pairs that they link are compared as whole sets, and those that are similar enough are
+united. No radius at which trees prune holds all similar pairs (one of 0.8 differs in 3 to 12 bits), so a
+second step finds every similar pair that the first one left in different components, as follows.
 
 The shingles of all texts are brought into one order, rare ones first. Two sets whose similarity is
 at least t share a shingle among the first n - ceil(t n) + 1 of each, so an equality join on these
@@ -26,12 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import broadcast_if_small, connected_components, release, small_batches, stage
+from weftgraph.llm import simhash_dedup
+from weftgraph.llm.common import broadcast_if_small, connected_components, join_hot, release, small_batches, stage
 from weftgraph.llm.simhash_dedup import keep_least, with_components
 
 WORDS = 5
 #: Least similarity of linked texts, as a fraction.
 LEAST = (4, 5)
+#: Bits in which fingerprints that the trees link may differ: the most at which trees still prune.
+RADIUS = 3
 SAMPLE = 8_192  # documents among which frequent shingles are sought at least,
 PART = 6  # or one in so many: shingles that are not found then stand in few texts however many there are
 FREQUENT = 3  # times that a frequent shingle stands in the sample at least
@@ -81,6 +89,14 @@ def least_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def simhash(own: np.ndarray) -> int:
+    """The SimHash fingerprint of a set: the bits that are 1 in over half of its shingles."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(own), 8_192):
+        votes += np.unpackbits(own[at : at + 8_192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(own), bitorder="little").view("<u8")[0])
+
+
 def digest(own: np.ndarray) -> int:
     """64 bits that stand for a set of shingles."""
     return xxhash.xxh3_64_intdigest(own.tobytes())
@@ -186,16 +202,33 @@ def with_neighbours(places: DataFrame, by: Column) -> DataFrame:
     return ranged.mapInArrow(each, ", ".join(f"{x} long" for x in names))
 
 
+def by_trees(sets: DataFrame, radius: int | None = None) -> DataFrame:
+    """Pairs (fp, other) of different sets (fp, simhash) whose components are those of all sets with
+    fingerprints within the radius: each set with the first of its fingerprint, and the first ones of the
+    fingerprints that the vantage-point trees link."""
+    firsts = stage(sets.groupBy("simhash").agg(F.min("fp").alias("other"), F.count(F.lit(1)).alias("times")), "firsts")
+    total = firsts.count()
+    near = stage(simhash_dedup.links(firsts.select(F.col("simhash").alias("fp")), total, RADIUS if radius is None else radius), "near")
+    near = broadcast_if_small(near, near.count())
+    a, b = (firsts.select(F.col("simhash").alias(side), F.col("other").alias(x)) for side, x in (("a", "fp"), ("b", "other")))
+    across = near.join(a, "a").join(b, "b").select("fp", "other")
+    shared = firsts.filter("times > 1")
+    alike = join_hot(sets.select("fp", "simhash"), shared, ["simhash"], "times", total).filter("fp <> other")
+    return stage(across.union(alike.select("fp", "other")), "trees")
+
+
 def links(docs: DataFrame, rows: DataFrame, bits: DataFrame, fps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) between different sets of rows (fp, n, prefix), one for each fp, whose components are
-    those of all pairs that are similar enough; bits (fp, n, bits) has each set's parities, fps the
-    smallest id (least) of each fp.
+    those of all pairs that are similar enough; bits (fp, n, bits, simhash) has each set's parities and
+    fingerprint, fps the smallest id (least) of each fp.
 
-    Within a large group of near copies not all pairs are compared: at first each set is compared with
+    The pairs that the trees link are compared first. Within a large group of near copies not all pairs are
+    compared: of what the trees left apart, at first each set is compared with
     one or two that it shares a shingle with, then each shingle's sets with the first of them and the one
     before, then those of crowded shingles with others in random order. Only pairs that these links leave in
     different components are compared all, and those of a shingle's largest component only with sets outside it.
     """
+    linked = by_trees(bits)
     places = rows.select("fp", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "fp", "n", (F.col("n") - F.col("at")).alias("rest"))
     shared = stage(with_neighbours(places, F.col("fp")), "shared")
     release(rows)
@@ -224,6 +257,8 @@ def links(docs: DataFrame, rows: DataFrame, bits: DataFrame, fps: DataFrame, id_
         own = shared.select("shingle", "fp", "n", "rest").join(members.withColumnRenamed("node", "fp"), "fp", "left")
         return stage(own.withColumn("root", F.coalesce("root", "fp")), "rooted")
 
+    unite(linked)
+    release(linked)
     unite(stars.groupBy("fp", "side").agg(F.min("other").alias("other")))
     unite(stars)
     release(stars)
@@ -307,17 +342,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             first = pa.array([prefix(x, frequent, counts).view(np.int64) for x in own], pa.list_(pa.int64()))
             bits = pa.array([parities(x) for x in own], pa.binary())
             words = np.stack([sketch(x) for x in own], axis=1) if own else np.zeros((4, 0), np.int64)
-            columns = [b.column(0), pa.array(fp), pa.array([len(x) for x in own], pa.int64()), first, bits, *map(pa.array, words)]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", "n", "prefix", "bits", *SKETCH])
+            sim = np.array([simhash(x) for x in own], np.uint64).view(np.int64)
+            columns = [b.column(0), pa.array(fp), pa.array([len(x) for x in own], pa.int64()), first, bits, pa.array(sim), *map(pa.array, words)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fp", "n", "prefix", "bits", "simhash", *SKETCH])
 
     own = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string"))
-    rows = own.mapInArrow(each, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fp long, n long, prefix array<long>, bits binary, {', '.join(f'{x} long' for x in SKETCH)}")
+    rows = own.mapInArrow(each, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fp long, n long, prefix array<long>, bits binary, simhash long, {', '.join(f'{x} long' for x in SKETCH)}")
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "shingles")
     slim = stage(rows.select(id_col, "fp"), "ids_of_sets")
     fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("times")), "fps")
     repeats = rows.select("rid").join(fps.select("rid"), "rid", "left_anti")
     once = rows.join(broadcast_if_small(repeats, rows.count() - fps.count()), "rid", "left_anti")
-    bits = stage(once.select("fp", "n", "bits", *SKETCH), "bits")
+    bits = stage(once.select("fp", "n", "bits", "simhash", *SKETCH), "bits")
     once = stage(once.select("fp", "n", "prefix"), "sets_once")
     release(rows)
     edges = links(docs, once, bits, fps, id_col, text_col)
