@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import release, shared_dir, stage
 
-__all__ = ["broadcast_if_small", "connected_components", "join_hot", "release", "shared_dir", "small_batches", "stage"]
+__all__ = ["broadcast_if_small", "connected_components", "give_back", "join_hot", "release", "shared_dir", "small_batches", "stage"]
 
 
 TEXTS = 1_024  # rows of a batch of whole texts that is handed to Python
@@ -27,6 +30,15 @@ def small_batches(spark: SparkSession, rows: int = TEXTS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system. Workers are kept from one operator's tasks to the
+    next one's, and freed memory that they hold would stand beside what the next ones need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = 200_000) -> DataFrame:
     """Hints a broadcast only when the counted rows of a slim table stay under the bound;
     beyond it the join shuffles."""

@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftgraph.llm.common import small_batches
+from weftgraph.llm.common import give_back, small_batches
 
 WINDOW = 1024
 END = 0
 BLOCK = 32_768  # remainders that are packed together
+ROWS = 512  # pieces of a batch that is handed to Spark, 2 MB of ids
 #: The word pattern of byte-level BPE files (fixed value, as published with the vocabulary).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -108,7 +109,9 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each file and worker; added tokens are read as tokens."""
     if path not in _ENCODERS:
+        give_back()  # what earlier operators left
         _ENCODERS[path] = Encoder(path, added=True)
+        give_back()  # the parsed file
     return _ENCODERS[path]
 
 
@@ -193,11 +196,16 @@ def pack(
             types = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+        def whole() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(full), ROWS):
+                yield out(full[at : at + ROWS])
+            full.clear()
+
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             which, offset, n = best_fit_decreasing(np.array([r[2] for r in rest], np.int64), window)
-            for at in range(0, len(rest), 4096):
-                some = zip(rest[at : at + 4096], which[at : at + 4096].tolist(), offset[at : at + 4096].tolist(), strict=True)
+            for at in range(0, len(rest), ROWS):
+                some = zip(rest[at : at + ROWS], which[at : at + ROWS].tolist(), offset[at : at + ROWS].tolist(), strict=True)
                 yield out([(*r, sequence + w, o) for r, w, o in some])
             sequence += n
             rest.clear()
@@ -215,13 +223,11 @@ def pack(
                         sequence += 1
                     else:
                         rest.append((doc, start, len(piece) // 4, piece, n))
-                if len(full) >= 4096:
-                    yield out(full)
-                    full.clear()
+                if len(full) >= ROWS:
+                    yield from whole()
                 if len(rest) >= BLOCK:
                     yield from packed()
-        if full:
-            yield out(full)
+        yield from whole()
         if rest:
             yield from packed()
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import broadcast_if_small, small_batches, stage
+from weftgraph.llm.common import broadcast_if_small, give_back, small_batches, stage
 
 KEY = "surrogates-1"
 _CACHED = 200_000
@@ -473,6 +473,8 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
         for texts in batches:
             found = [(None, []) if t is None else replace(t, surrogates) for t in texts]
             yield pd.DataFrame({"text": [x[0] for x in found], "entities": [[dict(zip(("kind", "start", "end", "surrogate", "entity_id"), e, strict=True)) for e in x[1]] for x in found]})
+        surrogates = found = texts = None
+        give_back()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("found", each(F.col(f"row.`{text_col}`").cast("string")))
