@@ -108,6 +108,37 @@ def pieces(word: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: (F.length(x) > 2) & ~x.isin(*SOURCE_STOPWORDS)))
 
 
+_SMALL, _CAPITAL = "^[a-z]+$", "^(?:[A-Z][a-z]+|[A-Z]+)$"
+_BY_LETTER = "|".join(f"{c}(?:{'|'.join(s[1:] for s in SUFFIXES if s[0] == c)})" for c in sorted({s[0] for s in SUFFIXES}))
+_CUT = f"(?<=[a-z0-9]{{{_LEAST}}})(?:{_BY_LETTER})(?![a-z0-9])"  # of suffixes in each other the longer one is met first
+_DOUBLED = f"(?<=[a-z0-9]{{{_LEAST - 2}}})([^aeiousl ])\\1(?![a-z0-9])"
+
+
+def stems(words: Column) -> Column:
+    """Different stems of the parts of an array of identifiers, as `stem` of `pieces` has them.
+
+    Words of small letters, with a capital first or of capitals are one piece. Pieces are letters and digits, so they
+    are cut as one string with blanks between them, in three passes. Arrays that are used twice are handed to
+    lambdas, so that they are made once."""
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    small, capital = lambda w: w.rlike(_SMALL), lambda w: w.rlike(_CAPITAL)
+
+    def parts(found: Column) -> Column:
+        rest = F.filter(found, lambda w: ~small(w))
+        low = F.split(F.lower(F.array_join(F.filter(rest, capital), " ")), " ")
+        mixed = F.flatten(F.transform(F.filter(rest, lambda w: ~capital(w)), pieces))
+        every = F.array_distinct(F.concat(F.filter(found, small), low, mixed))
+        return F.filter(every, lambda x: (F.length(x) > 2) & ~x.isin(*SOURCE_STOPWORDS))
+
+    def cut(found: Column) -> Column:
+        rest = F.array_join(F.filter(found, lambda x: ~x.isin(*KEPT)), " ")
+        rest = F.regexp_replace(F.regexp_replace(rest, _CUT, ""), _DOUBLED, "$1")
+        rest = F.regexp_extract_all(rest, F.lit(f"(?<![a-z0-9])([a-z0-9]{{1,{STEM_LENGTH}}})"), F.lit(1))
+        return F.array_distinct(F.concat(F.filter(found, lambda x: x.isin(*KEPT)), rest))
+
+    return bound(bound(words, parts), cut)
+
+
 def name_parts(name: Column) -> Column:
     """Parts of a name by dots, underscores, hyphens and spaces."""
     return F.array_distinct(F.filter(F.split(name, r"[.\s_\-]+"), lambda x: x != ""))

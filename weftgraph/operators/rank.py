@@ -30,7 +30,6 @@ PROSE = r"(?i)(\.(md|markdown|rst|txt|adoc)$)|(^(pyproject\.toml|setup\.cfg|setu
 TEST = r"^test_|_test(\.py)?$"
 
 
-VOCABULARY = 2_000_000  # different words with their stems that are broadcast at most
 NODE_TERMS = 20_000  # terms of questions against which nodes are tested in place at most
 
 
@@ -49,18 +48,20 @@ def is_prose(path: Column) -> Column:
 def file_terms(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(id, term): different stems of each file's name and text. files: id, path, text.
 
-    Words are made different within a file; the corpus's different words are then taken apart and
-    stemmed once each, as a table that is joined back. That table is broadcast if it is small by count;
-    beyond it, the join shuffles, and its frequent words are split by the skew handling of AQE.
+    Words are taken apart and stemmed in the file's own row, so no pair is shuffled, however many different
+    words the corpus has. Only rows of an id that occurs again are brought together.
     """
     body = F.substring("text", 1, max_chars) if max_chars else F.col("text")
-    words = stage(files.select("id", T.words(body).alias("words")), "words")
-    different = words.select(F.explode("words").alias("word")).distinct()
-    stems = different.select("word", F.explode(T.pieces(F.col("word"))).alias("piece")).select("word", T.stem(F.col("piece")).alias("term")).distinct()
-    stems = counted(stems, "vocabulary", VOCABULARY)
-    found = words.select("id", F.explode("words").alias("word")).join(stems, "word").select("id", "term")
     names = F.transform(T.name_parts(F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")), T.stem)
-    return found.union(files.select("id", F.explode(names).alias("term"))).distinct()
+    none = F.array().cast("array<string>")
+    found = F.array_distinct(F.concat(F.coalesce(T.stems(T.words(body)), none), F.coalesce(names, none)))
+    again = files.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("_id"))
+    again = counted(again, "repeated")
+    if again.isEmpty():
+        return files.select("id", F.explode(found).alias("term"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    split = [files.join(again, same, how).select("id", F.explode(found).alias("term")) for how in ("left_anti", "left_semi")]
+    return split[0].union(split[1].distinct())
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
