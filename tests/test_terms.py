@@ -1,9 +1,14 @@
 """The postings of files: made in each file's row, whatever the corpus."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators import rank
+from weftgraph.plans import catalog, fixtures, staging
+
+#: Queries that read the postings.
+SHARED = ["g19_score"]
 
 
 def exchanges(df):
@@ -35,3 +40,16 @@ def test_stems_of_arrays_are_those_of_words(spark):
     words = spark.createDataFrame([(w,) for w in odd], "w string")
     one = F.array_sort(F.array_distinct(F.transform(T.pieces(F.col("w")), T.stem)))
     assert words.filter(~one.eqNullSafe(F.array_sort(T.stems(F.array("w"))))).count() == 0
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_queries_make_postings_without_a_vocabulary(spark, monkeypatch, name):
+    """No table of words or of a vocabulary is written for a query; its postings are one stage without a shuffle."""
+    tags = []
+    write = staging.stage
+    for module in (staging, rank, fixtures):
+        monkeypatch.setattr(module, "stage", lambda df, tag: tags.append((tag, exchanges(df))) or write(df, tag))
+    monkeypatch.setattr(fixtures, "_WRITTEN", {})
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert not {"words", "vocabulary"} & {t for t, _ in tags}
+    assert all(n == 0 for t, n in tags if t == "terms")
