@@ -45,6 +45,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Deals the rows over all cores by a hash of columns whose values rarely repeat, for work that is long for
+    each row: a table of few bytes is read by few tasks. Equal rows meet, so repeats stay deterministic."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
 BROADCAST_ROWS = 200_000
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import schema
+from weftgraph.plans.staging import spread
 
 _SYMBOL = "struct<name:string,kind:string,line_start:int,line_end:int,is_private:boolean,decorators:array<string>>"
 _DEPENDENCY = "struct<target_module:string,kind:string,line:int,level:int>"
@@ -135,7 +136,7 @@ def top_level_names(text: str | None) -> list[str]:
 def with_parsed(files: DataFrame, parser: Callable[[str | None, str | None], dict | None] | None = None) -> DataFrame:
     """Adds the parse result of each file (text, and language if there) as a struct `parsed`; a parser's
     failure is an error row, and a language without a parser has no result. Files without a language
-    column are Python."""
+    column are Python. Files are dealt over all cores, as parsing takes longer than reading."""
     parser = parser or parse_file
 
     @F.pandas_udf(PARSED)
@@ -150,7 +151,8 @@ def with_parsed(files: DataFrame, parser: Callable[[str | None, str | None], dic
             yield pd.DataFrame(rows, columns=["symbols", "dependencies", "calls", "errors", "confidence"])
 
     language = F.col("language") if "language" in files.columns else F.lit("python")
-    return files.withColumn("parsed", each(language, F.col("text")))
+    each = each.asNondeterministic()  # else the filter that comes with an explode parses each file once more
+    return spread(files, "path", "text").withColumn("parsed", each(language, F.col("text")))
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
@@ -259,7 +261,9 @@ def structured_keys(files: DataFrame) -> DataFrame:
                 out.append(None)
         return pd.Series(out)
 
-    return files.filter(F.col("extension").isin(".json", ".toml", ".yaml", ".yml")).select("path", each("extension", "text").alias("keys"))
+    each = each.asNondeterministic()  # as in with_parsed
+    read = files.filter(F.col("extension").isin(".json", ".toml", ".yaml", ".yml")).select("path", "extension", "text")
+    return spread(read, "path", "text").select("path", each("extension", "text").alias("keys"))
 
 
 def promote(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
