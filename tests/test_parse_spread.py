@@ -8,6 +8,7 @@ from weftgraph.sources import parse
 
 SF = "/root/testdata/sf0.001"
 READ = {
+    "p14_symbol_promotion": lambda parsed: parse.promote(parsed)[1],
     "p01_python_imports": lambda parsed: parse.dependencies(parsed),
 }
 
