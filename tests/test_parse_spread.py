@@ -8,6 +8,7 @@ from weftgraph.sources import parse
 
 SF = "/root/testdata/sf0.001"
 READ = {
+    "p09_calls": lambda parsed: parsed.select("path", F.explode("parsed.calls")),
     "p01_python_symbols": lambda parsed: parse.symbols(parsed),
     "p14_symbol_promotion": lambda parsed: parse.promote(parsed)[1],
     "p01_python_imports": lambda parsed: parse.dependencies(parsed),
