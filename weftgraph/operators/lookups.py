@@ -116,7 +116,10 @@ def node_detail(nodes: DataFrame, edges: DataFrame, node_id: str, n: int = 15) -
     def side(own: DataFrame, label: str, column: str) -> DataFrame:
         own = own.select(F.col(column).alias("other"), F.col("type").alias("edge_type"))
         total = own.agg(F.count(F.lit(1)).alias("total"))
-        shown = own.orderBy("other", "edge_type").limit(n).join(nodes.select(F.col("id").alias("other"), "name"), "other", "left")
+        shown = own.orderBy("other", "edge_type").limit(n)
+        # of the nodes only those that are shown reach the join, so no task sorts them
+        named = nodes.select(F.col("id").alias("other"), "name").join(F.broadcast(shown.select("other").distinct()), "other", "left_semi")
+        shown = shown.join(F.broadcast(named), "other", "left")
         name = F.coalesce("name", F.element_at(F.split("other", "/"), -1))
         return shown.crossJoin(F.broadcast(total)).select(F.lit(label).alias("side"), "other", name.alias("name"), F.col("edge_type").alias("type"), "total")
 

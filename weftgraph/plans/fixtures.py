@@ -32,10 +32,18 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[DataFram
     return _WRITTEN[key]
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes; projections of the tables, so they are read where they are needed."""
+    return derive_nodes(spark, sf_dir)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as a store holds them."""
+    return _stored(spark, sf_dir, "edges", lambda s, d: (derive_edges(s, d),))[0]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as a store holds them."""
-    nodes, edges = _stored(spark, sf_dir, "graph", derive)
-    return nodes, edges
+    return nodes(spark, sf_dir), edges(spark, sf_dir)
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,18 +51,30 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "terms", lambda s, d: (rank.file_terms(files(s, d).select("id", "path", "text")),))[0]
 
 
-def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes of five kinds; belonging by foreign keys, imports from line items, and a cyclic graph of
-    nations; one edge ends at a node that doesn't exist."""
+#: Line items that a task makes different; it holds them in memory.
+TASK_ROWS = 500_000
+
+
+def derive_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of five kinds."""
     nodes = None
     for kind, key, node_type, name, lang in _KINDS:
         meta = F.concat(F.lit('{"language":"'), F.col(lang), F.lit('"}')) if lang else F.lit(None).cast("string")
         own = table(spark, sf_dir, kind).select(_id(kind, key).alias("id"), F.lit(node_type).alias("type"), F.col(name).alias("name"), F.lit(kind).alias("source"), F.lit(1.0).alias("confidence"), meta.alias("metadata"))
         nodes = own if nodes is None else nodes.unionByName(own)
+    return nodes
+
+
+def derive_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Belonging by foreign keys, imports from line items, and a cyclic graph of nations; one edge ends at a
+    node that doesn't exist. Line items are dealt into as many partitions as their number asks for, and made
+    different there: pairs rarely repeat, so combining them before a shuffle would only hold them in memory."""
     pairs = [table(spark, sf_dir, a).select(_id(a, k).alias("from_node"), _id(b, f).alias("to_node"), F.lit("BELONGS_TO").alias("type"), F.lit(0.6).alias("weight")) for a, k, b, f in _OWNERS]
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    supply = items.select("l_partkey", "l_suppkey").distinct().select(_id("part", "l_partkey").alias("from_node"), _id("supplier", "l_suppkey").alias("to_node"))
-    bought = items.select("l_orderkey", "l_partkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
+    n = max(spark.sparkContext.defaultParallelism, items.count() // TASK_ROWS + 1)
+    supply = items.select("l_partkey", "l_suppkey").repartition(n, "l_partkey", "l_suppkey").distinct().select(_id("part", "l_partkey").alias("from_node"), _id("supplier", "l_suppkey").alias("to_node"))
+    bought = items.select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").join(orders.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = bought.select("o_custkey", "l_partkey").repartition(n, "o_custkey", "l_partkey").distinct()
     bought = bought.select(_id("customer", "o_custkey").alias("from_node"), _id("part", "l_partkey").alias("to_node"))
     ghost = spark.range(1).select(F.lit("nation:0").alias("from_node"), F.lit("ghost:1").alias("to_node"))
     pairs += [p.select("from_node", "to_node", F.lit("IMPORTS").alias("type"), F.lit(1.0).alias("weight")) for p in (supply, bought, ghost)]
@@ -64,7 +84,7 @@ def derive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = pairs[0]
     for p in pairs[1:]:
         edges = edges.unionByName(p)
-    return nodes, edges
+    return edges
 
 
 NODES_SQL = "nodes AS (" + " UNION ALL ".join(
@@ -84,7 +104,7 @@ GRAPH_SQL = f"{NODES_SQL}, {EDGES_SQL}"
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph(spark, sf_dir)[1].filter("type = 'DEPENDS_ON'")
+    return edges(spark, sf_dir).filter("type = 'DEPENDS_ON'")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,22 +21,22 @@ def ids(spark, *names):
 
 @query("e01_find_node", f"{G} SELECT * FROM nodes WHERE id = 'part:17'")
 def _(spark, d):
-    return lookups.get_node(X.graph(spark, d)[0], "part:17")
+    return lookups.get_node(X.nodes(spark, d), "part:17")
 
 
 @query("e02_find_symbol", f"{G} SELECT id, name FROM nodes WHERE contains(name, '#00') AND type = 'FUNCTION'")
 def _(spark, d):
-    return lookups.search_by_name(X.graph(spark, d)[0], "#00", "FUNCTION").select("id", "name")
+    return lookups.search_by_name(X.nodes(spark, d), "#00", "FUNCTION").select("id", "name")
 
 
 @query("e03_find_by_type", f"{G} SELECT id, name FROM nodes WHERE type = 'FILE'")
 def _(spark, d):
-    return lookups.find_by_type(X.graph(spark, d)[0], "FILE").select("id", "name")
+    return lookups.find_by_type(X.nodes(spark, d), "FILE").select("id", "name")
 
 
 @query("e03_find_by_source", f"{G} SELECT id, name FROM nodes WHERE source = 'region'")
 def _(spark, d):
-    return lookups.find_by_source(X.graph(spark, d)[0], "region").select("id", "name")
+    return lookups.find_by_source(X.nodes(spark, d), "region").select("id", "name")
 
 
 @query("e04_find_dependents", f"{G}, own AS (SELECT * FROM edges WHERE to_node = 'part:17' AND type = 'IMPORTS') SELECT id, name, (SELECT count(*) FROM own) AS n_edges FROM nodes WHERE id IN (SELECT from_node FROM own)".replace(") , own", "), own"))
@@ -55,7 +55,7 @@ def _(spark, d):
 
 @query("e06_all_edges_for", f"{G} SELECT * FROM edges WHERE to_node = 'nation:0' UNION ALL SELECT * FROM edges WHERE from_node = 'nation:0'")
 def _(spark, d):
-    return lookups.all_edges_for(X.graph(spark, d)[1], "nation:0")
+    return lookups.all_edges_for(X.edges(spark, d), "nation:0")
 
 
 _REACH = "walk AS (SELECT '{seed}' AS id, 0 AS depth UNION SELECT e.{b}, depth + 1 FROM walk JOIN edges e ON e.{a} = walk.id WHERE depth < {n}), found AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"
@@ -75,7 +75,7 @@ def _(spark, d):
 
 @query("e08_shortest_path", f"{G.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS MATERIALIZED (SELECT DISTINCT from_node, to_node FROM edges), p AS (SELECT ['customer:1'] AS path, 'customer:1' AS here, 0 AS n UNION ALL SELECT list_append(path, to_node), to_node, n + 1 FROM p JOIN e ON from_node = here WHERE n < 5 AND here <> 'nation:17') SELECT array_to_string(path, '>') AS path FROM p WHERE here = 'nation:17' ORDER BY n, p.path LIMIT 1")
 def _(spark, d):
-    return traverse.shortest_path(X.graph(spark, d)[1], "customer:1", "nation:17").select(F.array_join("path", ">").alias("path"))
+    return traverse.shortest_path(X.edges(spark, d), "customer:1", "nation:17").select(F.array_join("path", ">").alias("path"))
 
 
 @query("e09_subgraph", f"{G} SELECT from_node, to_node, type FROM edges WHERE from_node IN (SELECT id FROM nodes WHERE source IN ('nation', 'region')) AND to_node IN (SELECT id FROM nodes WHERE source IN ('nation', 'region'))")
@@ -98,12 +98,12 @@ def _(spark, d):
 
 @query("e12_edge_type_summary", f"{G} SELECT type, count(*) AS n FROM edges GROUP BY type")
 def _(spark, d):
-    return lookups.edge_type_summary(X.graph(spark, d)[1])
+    return lookups.edge_type_summary(X.edges(spark, d))
 
 
 @query("e13_language_summary", f"{G} SELECT coalesce(json_extract_string(metadata, '$.language'), 'unknown') AS language, count(*) AS n FROM nodes GROUP BY 1")
 def _(spark, d):
-    return lookups.language_summary(X.graph(spark, d)[0])
+    return lookups.language_summary(X.nodes(spark, d))
 
 
 _TOKENS = "tokens AS (SELECT DISTINCT token, id FROM (SELECT unnest(list_concat([lower(name), regexp_replace(list_last(string_split(lower(name), '/')), '\\.(py|js|ts)$', '')], string_split(lower(name), '/'))) AS token, id FROM nodes) WHERE token <> '')"
@@ -111,22 +111,22 @@ _TOKENS = "tokens AS (SELECT DISTINCT token, id FROM (SELECT unnest(list_concat(
 
 @query("e14_name_index", f"{G}, {_TOKENS} SELECT token, id FROM tokens")
 def _(spark, d):
-    return lookups.name_tokens(X.graph(spark, d)[0])
+    return lookups.name_tokens(X.nodes(spark, d))
 
 
 @query("e15_keyword_search", f"{G}, {_TOKENS} SELECT DISTINCT id FROM tokens WHERE contains(token, 'suppliers') OR contains(token, 'supplier') OR contains('supplier', token)")
 def _(spark, d):
-    return lookups.find_by_keyword(lookups.name_tokens(X.graph(spark, d)[0]), "suppliers", "supplier")
+    return lookups.find_by_keyword(lookups.name_tokens(X.nodes(spark, d)), "suppliers", "supplier")
 
 
 @query("e16_find_by_path", f"{G} SELECT id, name FROM nodes WHERE type = 'FILE' AND (name = 'src/NATION_7' OR ends_with(name, '/src/NATION_7') OR ends_with('src/NATION_7', name)) ORDER BY id LIMIT 1")
 def _(spark, d):
-    return lookups.find_by_path(X.graph(spark, d)[0], "src/NATION_7").select("id", "name")
+    return lookups.find_by_path(X.nodes(spark, d), "src/NATION_7").select("id", "name")
 
 
 @query("e17_neighbors", R + _REACH.format(seed="nation:3", a="from_node", b="to_node", n=2) + " SELECT id, depth::INTEGER AS depth FROM found WHERE depth > 0")
 def _(spark, d):
-    return traverse.neighbours(X.graph(spark, d)[1], ids(spark, "nation:3"), 2).select("id", "depth")
+    return traverse.neighbours(X.edges(spark, d), ids(spark, "nation:3"), 2).select("id", "depth")
 
 
 _VIA = ", via AS (SELECT e.{b} AS id, min(struct_pack(a := e.{a}, t := e.type)) AS v FROM edges e JOIN found f ON f.id = e.{a} JOIN found g ON g.id = e.{b} WHERE g.depth = f.depth + 1 GROUP BY e.{b}) SELECT id, v.t AS edge_type, depth::INTEGER AS depth FROM found JOIN via USING (id) WHERE depth > 0"
@@ -134,17 +134,17 @@ _VIA = ", via AS (SELECT e.{b} AS id, min(struct_pack(a := e.{a}, t := e.type))
 
 @query("e18_upstream", R + _REACH.format(seed="supplier:3", a="to_node", b="from_node", n=2) + _VIA.format(a="to_node", b="from_node"))
 def _(spark, d):
-    return traverse.neighbours(X.graph(spark, d)[1], ids(spark, "supplier:3"), 2, reverse=True)
+    return traverse.neighbours(X.edges(spark, d), ids(spark, "supplier:3"), 2, reverse=True)
 
 
 @query("e18_downstream", R + _REACH.format(seed="customer:7", a="from_node", b="to_node", n=3) + _VIA.format(a="from_node", b="to_node"))
 def _(spark, d):
-    return traverse.neighbours(X.graph(spark, d)[1], ids(spark, "customer:7"), 3)
+    return traverse.neighbours(X.edges(spark, d), ids(spark, "customer:7"), 3)
 
 
 @query("e19_related_concepts", R + _REACH.format(seed="customer:5", a="from_node", b="to_node", n=2) + " SELECT id, depth::INTEGER AS depth FROM found WHERE starts_with(id, 'supplier:')")
 def _(spark, d):
-    return traverse.related_concepts(X.graph(spark, d)[1], ids(spark, "customer:5"), 2, "supplier:")
+    return traverse.related_concepts(X.edges(spark, d), ids(spark, "customer:5"), 2, "supplier:")
 
 
 @query("e20_conflicts_for", f"WITH {X.PART_FILES_SQL}, own AS (SELECT path, lower(split_part(list_last(string_split(path, '/')), '.', 1)) AS base, regexp_replace(path, '/?[^/]*$', '') AS dir FROM part_files), pairs AS (SELECT a.path AS source_a, b.path AS source_b, a.base FROM own a JOIN own b ON a.base = b.base AND a.path < b.path AND a.dir <> b.dir WHERE a.base NOT IN ('__init__', 'setup', 'conftest', 'index')) SELECT * FROM pairs WHERE starts_with(source_a, 'Brand#11/') OR starts_with(source_b, 'Brand#11/')")
@@ -204,7 +204,7 @@ def _(spark, d):
 
 @query("e26_degree", f"{G} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT from_node AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_node, 0, 1 FROM edges) GROUP BY id")
 def _(spark, d):
-    return lookups.degrees(X.graph(spark, d)[1])
+    return lookups.degrees(X.edges(spark, d))
 
 
 @query("e27_file_impact", f"{G}, own AS (SELECT id FROM nodes WHERE source = 'nation' AND name = 'NATION_3') SELECT (SELECT count(*) FROM own) AS nodes, (SELECT count(*) FROM edges WHERE to_node IN (SELECT id FROM own)) AS upstream, (SELECT count(*) FROM edges WHERE from_node IN (SELECT id FROM own)) AS downstream")
@@ -225,12 +225,12 @@ def _(spark, d):
 
 @query("d02_get_edges", f"{G} SELECT from_node, to_node, type FROM edges WHERE to_node = 'nation:5' AND type = 'BELONGS_TO'")
 def _(spark, d):
-    return lookups.get_edges(X.graph(spark, d)[1], to_node="nation:5", type="BELONGS_TO").select("from_node", "to_node", "type")
+    return lookups.get_edges(X.edges(spark, d), to_node="nation:5", type="BELONGS_TO").select("from_node", "to_node", "type")
 
 
 @query("d09_name_search", f"{G} SELECT id, name FROM nodes WHERE contains(name, '_1')")
 def _(spark, d):
-    return lookups.search_by_name(X.graph(spark, d)[0], "_1").select("id", "name")
+    return lookups.search_by_name(X.nodes(spark, d), "_1").select("id", "name")
 
 
 def batch(spark, d):
@@ -248,12 +248,12 @@ _UPSERTED = "SELECT id, name FROM nodes WHERE id NOT IN (SELECT id FROM last) UN
 
 @query("d03_upsert", f"{G}, {_BATCH} {_UPSERTED}")
 def _(spark, d):
-    return store.upsert(X.graph(spark, d)[0].select("id", "name"), batch(spark, d), ["id"])
+    return store.upsert(X.nodes(spark, d).select("id", "name"), batch(spark, d), ["id"])
 
 
 @query("d04_edge_upsert", f"{G}, b AS (SELECT from_node, to_node, type, 0.25::DOUBLE AS weight FROM edges WHERE type = 'BELONGS_TO' UNION ALL SELECT 'new:' || r_regionkey, 'region:0', 'CALLS', 1.0::DOUBLE FROM region) SELECT from_node, to_node, type, weight FROM edges WHERE type <> 'BELONGS_TO' UNION ALL SELECT * FROM b")
 def _(spark, d):
-    edges = X.graph(spark, d)[1]
+    edges = X.edges(spark, d)
     own = edges.filter("type = 'BELONGS_TO'").withColumn("weight", F.lit(0.25))
     new = X.table(spark, d, "region").select(F.concat(F.lit("new:"), F.col("r_regionkey").cast("string")).alias("from_node"), F.lit("region:0").alias("to_node"), F.lit("CALLS").alias("type"), F.lit(1.0).alias("weight"))
     return store.upsert(edges, own.union(new).withColumn("ord", F.lit(1)), schema.EDGE_KEY)
@@ -267,7 +267,7 @@ def _(spark, d):
 
 @query("d07_delete_edges", f"{G} SELECT from_node, to_node, type FROM edges WHERE NOT (type = 'DEPENDS_ON' OR to_node = 'ghost:1')")
 def _(spark, d):
-    edges = X.graph(spark, d)[1]
+    edges = X.edges(spark, d)
     return store.delete_edges(edges, edges.filter("type = 'DEPENDS_ON' OR to_node = 'ghost:1'")).select("from_node", "to_node", "type")
 
 
@@ -279,7 +279,7 @@ def _(spark, d):
 
 @query("d10_node_diff", f"{G}, {_BATCH}, new AS ({_UPSERTED}), cut AS (SELECT * FROM new WHERE NOT starts_with(id, 'region:')) SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM nodes o FULL JOIN cut n ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.name IS DISTINCT FROM n.name")
 def _(spark, d):
-    old = X.graph(spark, d)[0].select("id", "name")
+    old = X.nodes(spark, d).select("id", "name")
     new = store.upsert(old, batch(spark, d), ["id"]).filter("NOT startswith(id, 'region:')")
     return store.diff(old, new, ["id"])
 
@@ -289,7 +289,7 @@ _EDGE_KEY = "from_node || '|' || to_node || '|' || type"
 
 @query("d11_edge_diff", f"{G}, o AS MATERIALIZED (SELECT *, {_EDGE_KEY} AS k FROM edges), m AS (SELECT from_node, to_node, CASE WHEN type = 'DEPENDS_ON' THEN 'CALLS' ELSE type END AS type, CASE WHEN type = 'BELONGS_TO' THEN 0.5 ELSE weight END AS weight FROM edges), n AS MATERIALIZED (SELECT *, {_EDGE_KEY} AS k FROM m) SELECT from_node, to_node, type, 'added' AS change FROM n ANTI JOIN o USING (k) UNION ALL SELECT from_node, to_node, type, 'deleted' FROM o ANTI JOIN n USING (k) UNION ALL SELECT o.from_node, o.to_node, o.type, 'updated' FROM o JOIN n USING (k) WHERE o.weight <> n.weight")
 def _(spark, d):
-    old = X.graph(spark, d)[1]
+    old = X.edges(spark, d)
     new = old.withColumns({"weight": F.when(F.col("type") == "BELONGS_TO", 0.5).otherwise(F.col("weight")), "type": F.when(F.col("type") == "DEPENDS_ON", "CALLS").otherwise(F.col("type"))})
     return store.diff(old, new, schema.EDGE_KEY)
 
@@ -305,7 +305,7 @@ def _(spark, d):
 
 @query("d14_stale_nodes", f"{G} SELECT id FROM nodes WHERE NOT (source = 'part' OR source = 'customer') AND split_part(id, '::', 1) NOT IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_nationkey < 10)")
 def _(spark, d):
-    nodes = X.graph(spark, d)[0]
+    nodes = X.nodes(spark, d)
     kept = X.table(spark, d, "nation").filter("n_nationkey < 10").select(X._id("nation", "n_nationkey").alias("id"))
     return store.stale_nodes(nodes, nodes.filter("source IN ('part', 'customer')"), kept).select("id")
 
@@ -435,13 +435,13 @@ def _(spark, d):
 
 @query("g09_seed_expansion", R + "up AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT e.from_node, depth + 1 FROM up JOIN edges e ON e.to_node = up.id WHERE depth < 2), down AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT e.to_node, depth + 1 FROM down JOIN edges e ON e.from_node = down.id WHERE depth < 2), found AS (SELECT id, min(depth) AS depth FROM (SELECT * FROM up UNION ALL SELECT * FROM down) GROUP BY id) SELECT id, depth::INTEGER AS depth FROM found ORDER BY depth, id LIMIT 100")
 def _(spark, d):
-    return traverse.expand(X.graph(spark, d)[1], ids(spark, "nation:3"), 2, 2, 100)
+    return traverse.expand(X.edges(spark, d), ids(spark, "nation:3"), 2, 2, 100)
 
 
 @query("g24_hidden_risks", f"{G} SELECT id, CASE source WHEN 'region' THEN 'high' ELSE 'medium' END || ' risk: ' || name AS message FROM nodes WHERE source IN ('region', 'nation')")
 def _(spark, d):
     risk = F.when(F.col("source") == "region", "high").when(F.col("source") == "nation", "medium").otherwise("low")
-    return rank.hidden_risks(X.graph(spark, d)[0], risk)
+    return rank.hidden_risks(X.nodes(spark, d), risk)
 
 
 @query("g31_pack_edges", f"{G}, {_SEL} SELECT from_node, to_node, 'DEPENDS_ON' AS type, type AS true_type FROM edges WHERE from_node IN (SELECT id FROM sel) AND to_node IN (SELECT id FROM sel) ORDER BY from_node, to_node, edges.type LIMIT 50")
@@ -470,13 +470,13 @@ def graph_questions(spark):
 
 @query("g08_seeds", f"{G}, {_TOKENS}, kw(qid, w, s) AS (VALUES {_ASKED_WORDS}), sp(qid, p) AS (VALUES {_ASKED_PATHS}), m AS (SELECT DISTINCT qid, token FROM (SELECT DISTINCT token FROM tokens) JOIN kw ON contains(token, w) OR (s <> '' AND (contains(token, s) OR contains(s, token)))) SELECT qid, id FROM m JOIN tokens USING (token) UNION SELECT qid, min(id) FROM nodes JOIN sp ON name = p OR ends_with(name, '/' || p) OR ends_with(p, name) WHERE type = 'FILE' GROUP BY qid, p")
 def _(spark, d):
-    nodes = X.graph(spark, d)[0]
+    nodes = X.nodes(spark, d)
     return rank.seeds(nodes, lookups.name_tokens(nodes), graph_questions(spark))
 
 
 @query("g10_configs", f"{G}, q(qid, kind) AS (VALUES {', '.join(f'({q}, {k!r})' for q, k, *_ in GRAPH_ASKED)}), s(kind, configs) AS (VALUES {', '.join(f'({k[0]!r}, {k[3]})' for k in task.STRATEGIES)}) SELECT qid, id FROM q JOIN s USING (kind) JOIN nodes ON configs AND type = 'CONFIG'")
 def _(spark, d):
-    return rank.configs(X.graph(spark, d)[0], task.with_strategy(graph_questions(spark)))
+    return rank.configs(X.nodes(spark, d), task.with_strategy(graph_questions(spark)))
 
 
 _NODE_WANTED = f"kq(qid, word) AS (VALUES {', '.join(f'({q}, {w!r})' for q, _, words, *_ in GRAPH_ASKED for w in words)}), kc AS (SELECT *, {T.cut_sql('word')} AS cut FROM kq), nw AS (SELECT qid, term, 1 + least(length(term), 12) / 12.0::DOUBLE AS w FROM (SELECT DISTINCT qid, {T.bucket_sql('word', 'cut')} AS term FROM kc)), nmost AS (SELECT qid, sum(w) AS most FROM nw GROUP BY qid), nmatch AS (SELECT qid, id, sum(w) / any_value(most) AS match FROM (SELECT id, lower(concat_ws(' ', name, regexp_replace(coalesce(metadata, ''), '\"[^\"]*\"\\s*:', '', 'g'))) AS t FROM nodes WHERE type <> 'FILE') JOIN nw ON contains(t, term) JOIN nmost USING (qid) GROUP BY qid, id)"
@@ -484,7 +484,7 @@ _NODE_WANTED = f"kq(qid, word) AS (VALUES {', '.join(f'({q}, {w!r})' for q, _, w
 
 def node_matches(spark, d):
     questions = graph_questions(spark).select("qid", F.col("words").alias("terms"))
-    return rank.node_match(X.graph(spark, d)[0].filter("type <> 'FILE'"), questions)
+    return rank.node_match(X.nodes(spark, d).filter("type <> 'FILE'"), questions)
 
 
 @query("g13_node_match", f"{G}, {_NODE_WANTED} SELECT qid, id, round(match, 6) AS match FROM nmatch")

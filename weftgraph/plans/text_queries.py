@@ -410,7 +410,7 @@ def context_pack(spark, d):
 @query("g18_type_weights", f"WITH {X.GRAPH_SQL} SELECT kind, type, coalesce(w, 1.0::DOUBLE) AS weight, count(*) AS n FROM (VALUES ('BUG_FIX'), ('REFACTOR'), ('ANALYSIS'), ('OPTIMIZATION')) AS k(kind) CROSS JOIN nodes LEFT JOIN (VALUES " + ", ".join(f"('{k}', '{t}', {w}::DOUBLE)" for k, t, w in rank.TYPE_WEIGHTS) + ") AS w(kind, type, w) USING (kind, type) GROUP BY 1, 2, 3")
 def _(spark, d):
     kinds = F.explode(F.array(*[F.lit(k) for k in ("BUG_FIX", "REFACTOR", "ANALYSIS", "OPTIMIZATION")])).alias("kind")
-    pairs = X.graph(spark, d)[0].select(kinds, "type")
+    pairs = X.nodes(spark, d).select(kinds, "type")
     return pairs.groupBy("kind", "type", rank.weight_of_type(F.col("kind"), F.col("type")).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
