@@ -20,7 +20,7 @@ def written(monkeypatch):
 
 
 #: Queries over nodes alone.
-NODES = []
+NODES = ["e14_name_index"]
 
 
 @pytest.mark.parametrize("name", NODES)
