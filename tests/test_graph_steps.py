@@ -1,7 +1,8 @@
 """Steps that the queries over the derived graph share."""
 
 import pytest
-from weftgraph.operators import lookups
+from pyspark.sql import functions as F
+from weftgraph.operators import lookups, traverse
 from weftgraph.plans import catalog, fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,13 @@ def test_pairs_are_made_different_in_bounded_partitions(spark, monkeypatch, name
 def test_node_detail_does_not_sort_the_nodes(spark):
     nodes, edges = fixtures.graph(spark, SF)
     assert "SortMergeJoin" not in plan(lookups.node_detail(nodes, edges, "nation:0"))
+
+
+def test_edges_are_not_shuffled_for_a_small_frontier(spark):
+    """e18_upstream and other walks: edges meet the frontier where they are."""
+    edges = spark.range(2000).select(F.concat(F.lit("n"), F.col("id")).alias("from_node"), F.concat(F.lit("n"), F.col("id") + 1).alias("to_node"), F.lit("IMPORTS").alias("type"))
+    seeds = spark.createDataFrame([("n1999",)], "id string")
+    found = traverse.reach(edges, seeds, 2, reverse=True)
+    assert sorted((r.id, r.depth) for r in found.collect()) == [("n1997", 2), ("n1998", 1), ("n1999", 0)]
+    assert plan(found).count("BroadcastHashJoin [a") + plan(found).count("BroadcastHashJoin [from_node") + plan(found).count("BroadcastHashJoin [to_node") >= 1
+    assert "SortMergeJoin [a" not in plan(found)

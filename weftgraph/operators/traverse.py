@@ -1,7 +1,8 @@
 """Traversals as loops over frontiers: each level is one join of the frontier with the edges.
 
-Only the frontier is joined, what was visited is taken off by an anti join, and from the third level
-on each level is written to the shared folder, so plans stay short and survive lost executors.
+Only the frontier is joined, and what was visited is taken off by an anti join. Each frontier is written to the
+shared folder and counted: plans stay short and survive lost executors, and a small one is broadcast, so that the
+edges are not shuffled.
 """
 
 from __future__ import annotations
@@ -9,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.staging import stage
-
-_STAGED_FROM = 2
+from weftgraph.plans.staging import as_few, counted, stage
 
 
 def _directed(edges: DataFrame, reverse: bool) -> DataFrame:
@@ -25,17 +24,16 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     edges the least (via, type) counts. Ids need not exist as nodes."""
     steps = _directed(edges, reverse)
     frontier = seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("type")).dropDuplicates(["id"])
-    seen = frontier
+    seen = None
     for level in range(1, depth + 1):
-        found = steps.join(frontier.select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min(F.struct("a", "type")).alias("e"))
+        frontier = counted(frontier, "frontier")
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        if frontier.isEmpty():
+            return seen
+        found = steps.join(as_few(frontier.select(F.col("id").alias("a")), frontier), "a").groupBy("b").agg(F.min(F.struct("a", "type")).alias("e"))
         found = found.select(F.col("b").alias("id"), F.lit(level).alias("depth"), F.col("e.a").alias("via"), F.col("e.type").alias("type"))
         frontier = found.join(seen.select("id"), "id", "left_anti")
-        if level >= _STAGED_FROM and level < depth:
-            frontier = stage(frontier, "frontier")
-            if frontier.isEmpty():
-                break
-        seen = seen.unionByName(frontier)
-    return seen
+    return frontier if seen is None else seen.unionByName(frontier)
 
 
 def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
