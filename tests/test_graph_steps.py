@@ -21,7 +21,7 @@ def written(monkeypatch):
 
 
 #: Queries over nodes alone.
-NODES = ["e14_name_index", "d09_name_search"]
+NODES = ["e14_name_index", "d09_name_search", "g10_configs"]
 
 
 @pytest.mark.parametrize("name", NODES)
