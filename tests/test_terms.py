@@ -8,7 +8,7 @@ from weftgraph.operators import rank
 from weftgraph.plans import catalog, fixtures, staging
 
 #: Queries that read the postings.
-SHARED = ["g19_score", "g32_context_pack", "g30_snippets", "g11_document_frequency"]
+SHARED = ["g19_score", "g32_context_pack", "g30_snippets", "g11_document_frequency", "p16_file_terms"]
 
 
 def exchanges(df):
